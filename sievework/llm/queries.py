@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import exact_dedup, jaccard_join, license_scan, substring_dedup, url_filter
+from sievework.llm import chat_tools, cotraining, decontaminate, exact_dedup, jaccard_join, license_scan, mixing, substring_dedup, suffix_tree, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,9 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 LISTED = ("http://ads-track.example.org", "http://cheap-pills.example.com", "http://free-bets.example.com", "http://spam-farm.example.org")
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
+#: Equal shares of the sources; set shares of languages and registers.
+MIX: mixing.Targets = {"source": None, "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}, "topic": {"prose": 0.9, "tabular": 0.04, "": 0.06}}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,10 +32,26 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.decisions(table(spark, sf_dir, "documents"), MIX).withColumn("rate", F.round("rate", 6))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = license_scan.scan(table(spark, sf_dir, "documents"), PHRASES)
     return license_scan.digest(scanned, sorted(PHRASES.values())).withColumn("score", F.round("score", 9))
@@ -42,7 +61,14 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op6_substring_dedup, op8_license_scan, op9_jaccard_join)}
+def op10_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_tools.formatted(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_url_filter, op2_exact_dedup, op3_suffix_tree, op4_mixing, op5_decontaminate, op6_substring_dedup, op7_quality, op8_license_scan, op9_jaccard_join, op10_chat_tools)
+}
 
 UP, LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"

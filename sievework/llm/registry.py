@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-from sievework.llm.queries import ORACLE_SQL, QUERIES
+import corpus_pipeline
+from sievework.llm.queries import ORACLE_SQL as OPERATOR_SQL
+from sievework.llm.queries import QUERIES as OPERATOR_QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES"]
+QUERIES = OPERATOR_QUERIES | {"pipeline": corpus_pipeline.run}
+ORACLE_SQL = OPERATOR_SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -78,7 +78,7 @@ def origin_key(real_image_path: Column, image_path: Column) -> Column:
 
 
 def with_stem_suffix(path: Column, mark: str) -> Column:
-    return F.regexp_replace(path, "(\\.[^./]*)?$", f"{mark}$1")
+    return F.regexp_replace(path, "^(.*?)(\\.[^./]*)?$", f"$1{mark}$2")
 
 
 def is_degraded(postprocess: Column) -> Column:

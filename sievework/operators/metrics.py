@@ -39,7 +39,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation; 0 with fewer than two rows or a constant side."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
     rx, ry = (average_ranks(rows, c).select(F.col(c), F.col("rank").alias(f"r{c}")) for c in ("x", "y"))
-    rho = F.corr("rx", "ry")
+    rho = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
     return rows.join(rx, "x").join(ry, "y").agg(F.coalesce(F.nanvl(rho, F.lit(0.0)), F.lit(0.0)).alias("rho"), F.count("*").alias("n"))
 
 

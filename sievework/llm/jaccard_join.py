@@ -4,7 +4,7 @@ Tokens of a document are the 64-bit hashes of its distinct word 5-grams, in the
 hash. A set of n tokens that reaches similarity t misses at most m = n - ceil(t n) of them with any
 partner, so
 
-1. of the first m + l tokens (an extended prefix) at least l are shared with a partner. Documents
+1. of the first 2 m + 1 tokens (an extended prefix) at least m + 1 are shared with a partner. Documents
    with fewer tokens there that any other document has are settled; a passage that many documents
    have in common is too short to keep them in.
 2. for the documents left, tokens of the extended prefix are of two classes. Rare ones (in at most
@@ -37,7 +37,7 @@ from sievework.llm.common import WordHashes, binary, blob, checkpointed, rolling
 from sievework.llm.components import connected_components
 
 WIDTH, PERCENT, RARE, BLOCK = 5, 80, 64, 1024
-ENTRIES = 3_000_000  # entries that a map task holds before it sends them
+ENTRIES = 1_500_000  # entries that a map task holds before it sends them
 
 
 def token_sets(texts: list[bytes | None], cache: WordHashes, width: int = WIDTH) -> list[np.ndarray]:
@@ -66,7 +66,7 @@ def missed(n: int, percent: int) -> int:
 def prefix(n: int, percent: int) -> tuple[int, int]:
     """Length of the first extended prefix, and how many of it a partner shares."""
     m = missed(n, percent)
-    e = min(n, m + 1 + m // 4)
+    e = min(n, 2 * m + 1)
     return e, e - m
 
 
@@ -184,8 +184,8 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, rare: int
     members = rows.where("kind = 2").select(F.col("note").cast("long").alias("doc_id"), "k1", "k2", "n", "copies")
     shared = rows.where("kind = 1").groupBy("k1").agg(F.sum("total").alias("shared"))
     m = F.expr(f"n - (({percent} * n + 99) div 100)")
-    need = F.least(F.col("n"), m + 1 + F.floor(m / 4)) - m
-    sets = members.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    need = F.least(F.col("n"), 2 * m + 1) - m
+    sets = members.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "copies")).alias("rep"), F.max("n").alias("n"))
     alive = sets.join(shared, "k1").where(F.col("shared") >= need)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,11 +194,14 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, rare: int
             k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
             sets = token_sets(binary(batch.column("text")), cache, width)
             keep = [i for i, s in enumerate(sets) if len(s) and identity(s) == (k1[i], k2[i])]
-            yield pa.RecordBatch.from_arrays([pa.array([k1[i] for i in keep], pa.int64()), pa.array([k2[i] for i in keep], pa.int64()), pa.array([blob(sets[i]) for i in keep], pa.binary())], ["k1", "k2", "tokens"])
-
-    wanted = alive.select(F.col("rep").alias("doc_id"), "k1", "k2")
-    found = texts.where("doc_id is not null").join(wanted, "doc_id").select("k1", "k2", "text").mapInArrow(whole, "k1 long, k2 long, tokens binary")
-    whole_sets = checkpointed(found.dropDuplicates(["k1", "k2"]))
+            again = batch.column("again").take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([k1[i] for i in keep], pa.int64()), pa.array([k2[i] for i in keep], pa.int64()), again, pa.array([blob(sets[i]) for i in keep], pa.binary())], ["k1", "k2", "again", "tokens"])
+
+    wanted = alive.select(F.col("rep.doc_id").alias("doc_id"), (F.col("rep.copies") > 1).alias("again"), "k1", "k2")
+    found = texts.where("doc_id is not null").join(wanted, "doc_id").select("k1", "k2", "again", "text").mapInArrow(whole, "k1 long, k2 long, again boolean, tokens binary")
+    # Only rows that are repeated whole can come twice; they alone are shuffled to be single again.
+    found = checkpointed(found)
+    whole_sets = found.where("not again").unionByName(found.where("again").dropDuplicates(["k1", "k2"])).drop("again")
 
     def key_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

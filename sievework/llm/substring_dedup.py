@@ -25,24 +25,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import exchange
 from sievework.llm.common import WordHashes, binary, checkpointed, rolling, sliding
 
 WINDOW = 50
-ENTRIES = 3_000_000
+ENTRIES = 1_500_000
 
 
 def levels(window: int) -> list[int]:
     return sorted({-(-window // 4), -(-window // 2), window})
 
 
-def tag_of(text: bytes) -> int:
+def tag_of(text: Column) -> Column:
     """Tells texts of one doc_id apart."""
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def sha(words: list[bytes]) -> str:
@@ -98,7 +97,7 @@ def first_level(window: int, width: int, buckets: int):
                 ids = part.column("doc_id").to_pylist()
                 texts = [t or b"" for t in binary(part.column("text"))]
                 words = [t.split() for t in texts]
-                tags = np.array([tag_of(t) for t in texts], np.int64)
+                tags = np.asarray(part.column("tag"))
                 counts = np.array([len(w) for w in words], np.int64)
                 yield exchange.table(kind=np.full(len(ids), 2, np.int32), bucket=((tags >> 16) % buckets).astype(np.int32), owner=pa.array(ids, pa.int64()), tag=tags, n=counts, note=[sha(w) for w in words])
                 flat = cache.of([w for ws in words for w in ws])
@@ -132,8 +131,6 @@ def next_level(window: int, before: int, width: int, buckets: int):
         cache, out = WordHashes(), Sender(buckets, "later" if last else "shared")
         for batch in batches:
             for owner, tag, text, blobs in zip(*(batch.column(c).to_pylist() if c != "text" else binary(batch.column(c)) for c in ("doc_id", "tag", "text", "found")), strict=True):
-                if tag_of(text) != tag:  # another row of this doc_id
-                    continue
                 h = rolling(cache.of(text.split()), width)
                 at = places(blobs)
                 if last:
@@ -182,7 +179,7 @@ def search(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]
     """(doc_id, tag, n_words, whole sha and copies of every row; doc_id, tag, n_removed, kept_sha256,
     kept_text of every distinct row that loses words)."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tag_of(F.col("text")).alias("tag"))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // 5000))
     lengths = levels(window)
 
@@ -198,7 +195,7 @@ def search(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]
         return answers.where("kind = 1").groupBy(F.col("owner").alias("doc_id"), "tag").agg(F.collect_list("payloads").alias("found"))
 
     # From here on only documents with candidates move, once with their text.
-    held = checkpointed(texts.where("doc_id is not null and text is not null").join(candidates(found), "doc_id"))
+    held = checkpointed(texts.where("doc_id is not null and text is not null").join(candidates(found), ["doc_id", "tag"]))
     source = held
     for i, (before, width) in enumerate(zip(lengths, lengths[1:], strict=False)):
         question = "later" if width == window else "shared"
@@ -222,14 +219,6 @@ def removed_text(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents, with text cut to the words that stay where any are removed."""
     _, lost = search(docs, window)
     lost = lost.select(F.col("doc_id").alias("sieve_id"), "tag", "kept_text").dropDuplicates(["sieve_id", "tag"])
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("sieve_id"))
-    # Rows of one doc_id with different texts are told apart by what is left of each.
-    tagged = row.mapInArrow(with_tag, row.schema.add("sieve_tag", "long"))
-    joined = tagged.join(lost, (tagged["sieve_id"] == lost["sieve_id"]) & (tagged["sieve_tag"] == lost["tag"]), "left")
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), tag_of(F.col("text")).alias("own"))
+    joined = row.join(lost, (F.col("id") == F.col("sieve_id")) & (F.col("own") == F.col("tag")), "left")
     return joined.select(*[(F.coalesce("kept_text", "row.text") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
-
-
-def with_tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = binary(batch.column("row").field("text"))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([tag_of(t or b"") for t in texts], pa.int64())], [*batch.schema.names, "sieve_tag"])

@@ -47,7 +47,7 @@ def words_of(text: Column, gap: str = GAP) -> Column:
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash. Emptied when it has `most` words, so that memory stays bounded."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 
@@ -107,6 +107,19 @@ def binary(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `most` bytes of text, so that words of a few documents are held at a time."""
+    sizes = [len(t or b"") for t in binary(batch.column(column))]
+    first, size = 0, 0
+    for i, n in enumerate(sizes):
+        if size and size + n > most:
+            yield batch.slice(first, i - first)
+            first, size = i, 0
+        size += n
+    if first < len(sizes):
+        yield batch.slice(first)
+
+
 def blob(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 

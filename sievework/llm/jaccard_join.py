@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import exchange
-from sievework.llm.common import WordHashes, binary, blob, checkpointed, rolling, runs
+from sievework.llm.common import WordHashes, binary, blob, checkpointed, pieces, rolling, runs
 from sievework.llm.components import connected_components
 
 WIDTH, PERCENT, RARE, BLOCK = 5, 80, 64, 1024
@@ -92,7 +92,7 @@ def sent_sets(percent: int, width: int, buckets: int):
             held.clear()
             seen.clear()
 
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             ids, keys, sizes = batch.column("doc_id").to_pylist(), [], []
             for d, tokens in zip(ids, token_sets(binary(batch.column("text")), cache, width), strict=True):
                 n = len(tokens)
@@ -102,7 +102,7 @@ def sent_sets(percent: int, width: int, buckets: int):
                 if n and d is not None and k1 not in seen:
                     seen.add(k1)
                     e = prefix(n, percent)[0]
-                    held.append((tokens[:e], k1))
+                    held.append((tokens[:e].copy(), k1))  # not a view of all tokens
                     size += e
             k1 = np.array([k for k, _ in keys], np.int64)
             yield exchange.table(kind=np.full(len(ids), 2, np.int32), bucket=(k1 % buckets).astype(np.int32), owner=k1, tag=np.array([k for _, k in keys], np.int64), n=np.array(sizes, np.int64), note=[None if d is None else str(d) for d in ids])
@@ -175,7 +175,7 @@ def node(k1: str = "k1", k2: str = "k2"):
 def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, rare: int = RARE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(one row per document: doc_id, k1, k2, n; true spanning links a, b between set names)."""
     spark = docs.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // 5000))
+    buckets = max(12, -(-docs.count() // 10_000))  # about two million entries each
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sent = texts.mapInArrow(sent_sets(percent, width, buckets), exchange.SCHEMA).repartition(buckets, "bucket")
     answers = sent.mapInArrow(lambda it: exchange.settle(it, buckets, "shared"), exchange.SCHEMA)
@@ -190,7 +190,7 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, rare: int
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
             sets = token_sets(binary(batch.column("text")), cache, width)
             keep = [i for i, s in enumerate(sets) if len(s) and identity(s) == (k1[i], k2[i])]

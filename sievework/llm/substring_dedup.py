@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import exchange
-from sievework.llm.common import WordHashes, binary, checkpointed, rolling, sliding
+from sievework.llm.common import WordHashes, binary, checkpointed, pieces, rolling, sliding
 
 WINDOW = 50
 ENTRIES = 1_500_000
@@ -92,8 +92,7 @@ def first_level(window: int, width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, out = WordHashes(), Sender(buckets, "shared")
         for batch in batches:
-            for c in range(0, batch.num_rows, 2000):
-                part = batch.slice(c, 2000)
+            for part in pieces(batch):
                 ids = part.column("doc_id").to_pylist()
                 texts = [t or b"" for t in binary(part.column("text"))]
                 words = [t.split() for t in texts]
@@ -180,7 +179,7 @@ def search(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]
     kept_text of every distinct row that loses words)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tag_of(F.col("text")).alias("tag"))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // 5000))
+    buckets = max(12, -(-docs.count() // 20_000))  # answers come once for each document and bucket
     lengths = levels(window)
 
     def settled(sent: DataFrame, question: str) -> DataFrame:

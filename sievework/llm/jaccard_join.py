@@ -213,7 +213,7 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, rare: int
 
     tokens = whole_sets.select("k1", "tokens").mapInArrow(key_tokens, "k1 long, h long")
     counted = tokens.groupBy("h").agg(F.count("*").alias("df"), F.min("k1").alias("low")).where("df > 1")
-    known = checkpointed(tokens.join(counted, "h"))
+    known = tokens.join(counted, "h")
     single = known.where(F.col("df") <= rare).select(F.col("k1").alias("a"), F.col("low").alias("b"))
     listed = known.where(F.col("df") > rare).groupBy("k1").agg(F.sort_array(F.collect_list("h")).alias("hs"))
     pairs = F.when(F.size("hs") > 1, F.transform(F.sequence(F.lit(1), F.size("hs") - 1), lambda i: F.xxhash64(F.get("hs", i - 1), F.get("hs", i)))).otherwise(F.array().cast("array<long>"))
@@ -222,9 +222,9 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, rare: int
     double = combined.join(lows, "key").select(F.col("k1").alias("a"), F.col("low").alias("b"))
     candidates = connected_components(single.unionByName(double).where("a <> b"))
 
-    grouped = checkpointed(whole_sets.join(candidates.withColumnsRenamed({"node": "k1", "label": "cc"}), "k1"))
-    sizes = grouped.groupBy("cc").count().select("cc", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    placed = grouped.join(sizes, "cc").withColumn("own", F.pmod("k2", "blocks").cast("int"))
+    sizes = candidates.groupBy(F.col("label").alias("cc")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    named = candidates.select(F.col("node").alias("k1"), F.col("label").alias("cc")).join(sizes, "cc")
+    placed = whole_sets.join(named, "k1").withColumn("own", F.pmod("k2", "blocks").cast("int"))
     # Every two blocks of a large component meet once.
     other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     met = placed.withColumn("other", F.explode(other)).select("cc", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "k1", "k2", "tokens")

@@ -13,7 +13,8 @@ partner, so
    its members interrupt that sequence less than l times together, so two that follow each other
    are in both. No partner is lost.
 3. documents that share a key form candidate components (keys are linked to their smallest
-   document, never in pairs), and within them whole sets are compared, in blocks of `block`.
+   document, never in pairs), and within them whole sets are compared, in blocks of `block`: first
+   within blocks, then by delegates, then those not yet known to hang together (true_links).
    Only spanning links leave a block.
 
 Equal sets are one node throughout. Defined results: words are separated by ASCII white space,
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.llm import exchange
@@ -37,6 +38,7 @@ from sievework.llm.common import WordHashes, binary, blob, checkpointed, pieces,
 from sievework.llm.components import connected_components
 
 WIDTH, PERCENT, RARE, BLOCK = 5, 80, 64, 1024
+DELEGATES = 16  # sets of a component found in a block that stand for it in the second comparison
 ENTRIES = 1_500_000  # entries that a map task holds before it sends them
 
 
@@ -157,17 +159,60 @@ def compare(sets: list[np.ndarray], percent: int, dense: int = 8) -> np.ndarray:
         label = new
 
 
-def spanning(percent: int):
+def labelled(percent: int):
+    """k1, k2 of each set of a group, its name a and the name b of the least set that it reaches in the group."""
+
     def run(group: pa.Table) -> pa.Table:
         k1, k2 = group.column("k1").to_numpy(), group.column("k2").to_numpy()
         label = compare([np.frombuffer(t, np.uint64) for t in group.column("tokens").to_pylist()], percent)
-        own = np.flatnonzero(label != np.arange(len(label)))
-        name = lambda i: [f"{a & (2**64 - 1):016x}{b & (2**64 - 1):016x}" for a, b in zip(k1[i].tolist(), k2[i].tolist(), strict=True)]
-        return pa.table({"a": pa.array(name(own), pa.string()), "b": pa.array(name(label[own]), pa.string())})
+        name = [f"{a & (2**64 - 1):016x}{b & (2**64 - 1):016x}" for a, b in zip(k1.tolist(), k2.tolist(), strict=True)]
+        return pa.table({"cc": group.column("cc"), "k1": group.column("k1"), "k2": group.column("k2"), "a": pa.array(name, pa.string()), "b": pa.array([name[i] for i in label.tolist()], pa.string())})
 
     return run
 
 
+LABELS = "cc long, k1 long, k2 long, a string, b string"
+
+
+def true_links(whole_sets: DataFrame, named: DataFrame, percent: int, block: int) -> DataFrame:
+    """Spanning links (a, b) among the sets of each candidate component (named: k1, cc, blocks).
+
+    Sets that are known to hang together need not meet, so a large component is worked off in three steps:
+    every set is compared within its own block; delegates of what was found there are compared once
+    across blocks; then sets of different found components meet, block by block. Members of the
+    largest found component never meet each other there, so a family of copies costs its size."""
+    placed = whole_sets.join(named, "k1").withColumn("own", F.pmod("k2", "blocks").cast("int"))
+    first = checkpointed(placed.select("cc", "own", "k1", "k2", "tokens").groupBy("cc", "own").applyInArrow(labelled(percent), LABELS))
+    edges = first.where("a <> b").select("a", "b")
+    large = named.where("blocks > 1").select("cc", "blocks").distinct()
+    if large.isEmpty():
+        return edges
+    inside = first.join(large, "cc")
+    # A found component has at most `block` members here.
+    one_of = F.row_number().over(Window.partitionBy("cc", "b").orderBy("k1", "k2"))
+    delegates = inside.withColumn("i", one_of).where(F.col("i") <= DELEGATES).select("cc", "k1", "k2")
+    rooms = delegates.groupBy("cc").agg(F.ceil(F.count("*") / block).cast("int").alias("rooms"))
+    seats = delegates.join(rooms, "cc").withColumn("room", F.pmod("k2", "rooms").cast("int"))
+    second = checkpointed(whole_sets.join(seats, ["k1", "k2"]).select("cc", "room", "k1", "k2", "tokens").groupBy("cc", "room").applyInArrow(labelled(percent), LABELS))
+    edges = edges.unionByName(second.where("a <> b").select("a", "b"))
+    known = connected_components(inside.where("a <> b").select("a", "b").unionByName(second.where("a <> b").select("a", "b")))
+    members = checkpointed(inside.select("cc", "k1", "k2", "a").join(known.withColumnRenamed("node", "a"), "a", "left").select("cc", "k1", "k2", F.coalesce("label", "a").alias("found")))
+    found = members.groupBy("cc", "found").agg(F.count("*").alias("n"))
+    main = found.groupBy("cc").agg(F.max_by("found", F.struct("n", "found")).alias("main"), F.max("n").alias("in_main"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+    if main.isEmpty():
+        return edges
+    mains, rests = (F.ceil(F.col(c) / block).cast("int") for c in ("in_main", "rest"))
+    is_main = F.col("found") == F.col("main")
+    roles = members.join(main, "cc").withColumns({"mains": mains, "every": mains + rests, "is_main": is_main})
+    spot = F.when(F.col("is_main"), F.pmod("k2", "mains")).otherwise(F.col("mains") + F.pmod("k2", F.col("every") - F.col("mains"))).cast("int")
+    # Blocks of the largest found component meet the others' blocks only; those meet every block.
+    other = F.sequence(F.when(F.col("is_main"), F.col("mains")).otherwise(F.lit(0)), F.col("every") - 1)
+    met = whole_sets.join(roles.select("cc", "k1", "k2", spot.alias("spot"), other.alias("other")), ["k1", "k2"]).withColumn("other", F.explode("other"))
+    met = met.select("cc", F.least("spot", "other").alias("x"), F.greatest("spot", "other").alias("y"), "k1", "k2", "tokens")
+    third = met.groupBy("cc", "x", "y").applyInArrow(labelled(percent), LABELS)
+    return edges.unionByName(third.where("a <> b").select("a", "b"))
+
+
 def node(k1: str = "k1", k2: str = "k2"):
     return F.concat(F.lpad(F.lower(F.hex(k1)), 16, "0"), F.lpad(F.lower(F.hex(k2)), 16, "0"))
 
@@ -224,11 +269,7 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, rare: int
 
     sizes = candidates.groupBy(F.col("label").alias("cc")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     named = candidates.select(F.col("node").alias("k1"), F.col("label").alias("cc")).join(sizes, "cc")
-    placed = whole_sets.join(named, "k1").withColumn("own", F.pmod("k2", "blocks").cast("int"))
-    # Every two blocks of a large component meet once.
-    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = placed.withColumn("other", F.explode(other)).select("cc", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "k1", "k2", "tokens")
-    return members, met.groupBy("cc", "x", "y").applyInArrow(spanning(percent), "a string, b string")
+    return members, true_links(whole_sets, named, percent, block)
 
 
 def components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, rare: int = RARE, block: int = BLOCK) -> DataFrame:

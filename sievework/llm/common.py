@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -28,9 +29,18 @@ def ready(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read from it; its lineage ends there."""
-    ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, written to the shared checkpoint folder and read from it; its lineage ends there.
+
+    Spark drops the shuffle files and checkpoints behind a result once the driver's JVM has collected what
+    refers to them, which by itself it may not do for half an hour; so it is asked to, and a chain
+    of steps occupies the disk of its largest step, not of all."""
+    spark = df.sparkSession
+    ready(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def lower_ascii(text: Column) -> Column:

@@ -7,11 +7,14 @@ partner, so
 1. of the first 2 m + 1 tokens (an extended prefix) at least m + 1 are shared with a partner. Documents
    with fewer tokens there that any other document has are settled; a passage that many documents
    have in common is too short to keep them in.
-2. for the documents left, tokens of the extended prefix are of two classes. Rare ones (in at most
-   `rare` documents) are index keys alone. Frequent ones are combined, two that follow each other
-   among the document's frequent tokens: if a pair shares no rare token it shares l frequent ones,
-   its members interrupt that sequence less than l times together, so two that follow each other
-   are in both. No partner is lost.
+2. for the documents left, all tokens are put in one order, the rarest first (by the number of sets
+   that have them, then by hash). The first token that a pair shares is among the first m + 1 of both; a
+   set with more than m tokens of its own is settled. If that token is rare (in at most `rare`
+   sets) it is an index key alone. Otherwise all that the pair shares is frequent, and frequent
+   tokens of a longer prefix are combined, two that follow each other among the set's frequent
+   tokens: the pair shares l of them, its members interrupt that sequence less than l - 1
+   times together, so two that follow each other are in both. No partner is lost, and a passage that
+   many documents have in common brings no strangers together, as it comes last.
 3. documents that share a key form candidate components (keys are linked to their smallest
    document, never in pairs), and within them whole sets are compared, in blocks of `block`: first
    within blocks, then by delegates, then those not yet known to hang together (true_links).
@@ -78,6 +81,36 @@ def key_prefix(n: int, percent: int) -> int:
     return min(n, 2 * missed(n, percent) + missed(partner, percent) + 3)
 
 
+def index_keys(percent: int, rare: int):
+    """(k1, key) of each set, from its size n and its tokens ts (df, h) that other sets have, rarest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, keys = [], []
+            ts = batch.column("ts")
+            offsets, flat = np.asarray(ts.offsets), ts.values
+            df, h = np.asarray(flat.field("df")), np.asarray(flat.field("h")).view(np.uint64)
+            for i, (k1, n) in enumerate(zip(batch.column("k1").to_pylist(), batch.column("n").to_pylist(), strict=True)):
+                a, b = int(offsets[i]), int(offsets[i + 1])
+                alone = n - (b - a)  # tokens that no other set has come first in the order
+                m = missed(n, percent)
+                if alone > m:
+                    continue
+                end = min(b, a + m + 1 - alone)
+                split = a + int(np.searchsorted(df[a:b], rare, "right"))
+                own = [h[a : min(end, split)]]
+                if end > split:
+                    frequent = h[split : max(split, min(b, a + key_prefix(n, percent) - alone))]
+                    own.append(rolling(frequent, 2))
+                own = np.concatenate(own)
+                owners.append(np.full(len(own), k1, np.int64))
+                keys.append(own.view(np.int64))
+            if owners:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owners)), pa.array(np.concatenate(keys))], ["k1", "key"])
+
+    return run
+
+
 def identity(tokens: np.ndarray) -> tuple[int, int]:
     d = xxhash.xxh3_128_digest(blob(tokens))
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
@@ -248,24 +281,21 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, rare: int
     found = checkpointed(found)
     whole_sets = found.where("not again").unionByName(found.where("again").dropDuplicates(["k1", "k2"])).drop("again")
 
-    def key_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1 = np.asarray(batch.column("k1"))
             for c in range(0, len(k1), 500):
                 sets = [np.frombuffer(t, np.int64) for t in batch.column("tokens").slice(c, 500).to_pylist()]
-                sets = [s[: key_prefix(len(s), percent)] for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(k1[c : c + 500], [len(s) for s in sets])), pa.array(np.concatenate(sets))], ["k1", "h"])
 
-    tokens = whole_sets.select("k1", "tokens").mapInArrow(key_tokens, "k1 long, h long")
-    counted = tokens.groupBy("h").agg(F.count("*").alias("df"), F.min("k1").alias("low")).where("df > 1")
-    known = tokens.join(counted, "h")
-    single = known.where(F.col("df") <= rare).select(F.col("k1").alias("a"), F.col("low").alias("b"))
-    listed = known.where(F.col("df") > rare).groupBy("k1").agg(F.sort_array(F.collect_list("h")).alias("hs"))
-    pairs = F.when(F.size("hs") > 1, F.transform(F.sequence(F.lit(1), F.size("hs") - 1), lambda i: F.xxhash64(F.get("hs", i - 1), F.get("hs", i)))).otherwise(F.array().cast("array<long>"))
-    combined = listed.select("k1", F.explode(pairs).alias("key"))
-    lows = combined.groupBy("key").agg(F.count("*").alias("n"), F.min("k1").alias("low")).where("n > 1")
-    double = combined.join(lows, "key").select(F.col("k1").alias("a"), F.col("low").alias("b"))
-    candidates = connected_components(single.unionByName(double).where("a <> b"))
+    tokens = whole_sets.select("k1", "tokens").mapInArrow(all_tokens, "k1 long, h long")
+    counted = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    listed = tokens.join(counted, "h").groupBy("k1").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("ts"))
+    lengths = whole_sets.select("k1", F.expr("cast(octet_length(tokens) div 8 as int)").alias("n"))
+    keys = checkpointed(listed.join(lengths, "k1").mapInArrow(index_keys(percent, rare), "k1 long, key long"))
+    lows = keys.groupBy("key").agg(F.count("*").alias("sets"), F.min("k1").alias("low")).where("sets > 1")
+    linked = keys.join(lows, "key").select(F.col("k1").alias("a"), F.col("low").alias("b"))
+    candidates = connected_components(linked.where("a <> b"))
 
     sizes = candidates.groupBy(F.col("label").alias("cc")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     named = candidates.select(F.col("node").alias("k1"), F.col("label").alias("cc")).join(sizes, "cc")

@@ -17,20 +17,16 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     e = edges.where("a is not null and b is not null")
     e = checkpointed(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(most_rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # Large star: neighbours larger than a node hang from the smallest neighbour.
+        both = e.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+        # Large star: neighbours larger than a node hang from the smallest of it and its neighbours.
         least = both.groupBy("a").agg(F.min("b").alias("low"))
-        least = least.select("a", F.least("a", "low").alias("low"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        loops = least.where("low = a").select("a", F.col("low").alias("b"))
-        large = large.unionByName(loops).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b"))
         # Small star: a node and its smaller neighbours hang from the smallest of them.
-        down = large.where("b < a")
-        low = down.groupBy("a").agg(F.min("b").alias("low"))
-        small = down.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
+        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = large.join(low, "a").select(F.inline(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))))
         new = checkpointed(small.where("a > b").distinct())
         # Stars only: every node has one parent, and no parent has one itself.
-        ends = new.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(new.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = new.select(F.inline(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
         e = new
         if ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():
             break

@@ -222,7 +222,7 @@ def true_links(whole_sets: DataFrame, named: DataFrame, percent: int, block: int
         return edges
     inside = first.join(large, "cc")
     # A found component has at most `block` members here.
-    one_of = F.row_number().over(Window.partitionBy("cc", "b").orderBy("k1", "k2"))
+    one_of = F.row_number().over(Window.partitionBy("b").orderBy("k1", "k2"))
     delegates = inside.withColumn("i", one_of).where(F.col("i") <= DELEGATES).select("cc", "k1", "k2")
     rooms = delegates.groupBy("cc").agg(F.ceil(F.count("*") / block).cast("int").alias("rooms"))
     seats = delegates.join(rooms, "cc").withColumn("room", F.pmod("k2", "rooms").cast("int"))

@@ -77,11 +77,13 @@ def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
     """Weights of an L2 logistic regression, by Newton steps."""
     w = np.zeros(x.shape[1])
-    x = x.astype(np.float64)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (p - y)) + ridge * w
-        hessian = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge * np.eye(len(w))
+        gradient, hessian = ridge * w, ridge * np.eye(len(w))
+        for c in range(0, len(x), 4096):  # in double precision a few rows at a time
+            part, own = x[c : c + 4096].astype(np.float64), weight[c : c + 4096]
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            gradient = gradient + part.T @ (own * (p - y[c : c + 4096]))
+            hessian += (part * (own * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ part
         step = np.linalg.solve(hessian, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -117,7 +119,12 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: np.ndarray,
 
 
 def matrix(rows: pa.Table, column: str) -> np.ndarray:
-    return np.stack([np.frombuffer(v, np.float32) for v in rows.column(column).to_pylist()]) if rows.num_rows else np.empty((0, 1), np.float32)
+    """The values of a column of equally long vectors, as they lie in Arrow's buffer."""
+    if not rows.num_rows:
+        return np.empty((0, 1), np.float32)
+    values = pa.concat_arrays(rows.column(column).chunks)
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2], np.float32)[ends[0] // 4 : ends[-1] // 4].reshape(len(values), -1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED_MOST, pool: int = POOL_MOST) -> dict | float:

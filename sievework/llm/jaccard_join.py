@@ -4,9 +4,10 @@ Tokens of a document are the 64-bit hashes of its distinct word 5-grams, in the
 hash. A set of n tokens that reaches similarity t misses at most m = n - ceil(t n) of them with any
 partner, so
 
-1. of the first 2 m + 1 tokens (an extended prefix) at least m + 1 are shared with a partner. Documents
-   with fewer tokens there that any other document has are settled; a passage that many documents
-   have in common is too short to keep them in.
+1. of the first 2 m + 1 tokens (an extended prefix) at least m' + 1 are in a partner's prefix too, m' being the
+   m of the smallest partner that the similarity allows. Documents with fewer tokens there that any
+   other document has there are settled; a passage that many documents have in common is too short to
+   keep them in.
 2. for the documents left, all tokens are put in one order, the rarest first (by the number of sets
    that have them, then by hash). The first token that a pair shares is among the first m + 1 of both; a
    set with more than m tokens of its own is settled. If that token is rare (in at most `rare`
@@ -69,10 +70,10 @@ def missed(n: int, percent: int) -> int:
 
 
 def prefix(n: int, percent: int) -> tuple[int, int]:
-    """Length of the first extended prefix, and how many of it a partner shares."""
-    m = missed(n, percent)
-    e = min(n, 2 * m + 1)
-    return e, e - m
+    """Length of the first extended prefix, and how many of it any partner has in its own."""
+    e = min(n, 2 * missed(n, percent) + 1)
+    least = -(-percent * n // 100)  # size of the smallest partner, whose prefix shows the fewest
+    return e, min(least, missed(least, percent) + 1)
 
 
 def key_prefix(n: int, percent: int) -> int:
@@ -261,8 +262,8 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, rare: int
     rows = checkpointed(answers.groupBy("kind", F.col("owner").alias("k1"), F.col("tag").alias("k2"), "note").agg(F.sum("n").alias("total"), F.max("n").alias("n"), F.count("*").alias("copies")))
     members = rows.where("kind = 2").select(F.col("note").cast("long").alias("doc_id"), "k1", "k2", "n", "copies")
     shared = rows.where("kind = 1").groupBy("k1").agg(F.sum("total").alias("shared"))
-    m = F.expr(f"n - (({percent} * n + 99) div 100)")
-    need = F.least(F.col("n"), 2 * m + 1) - m
+    smallest = f"(({percent} * n + 99) div 100)"
+    need = F.least(F.expr(smallest), F.expr(f"{smallest} - (({percent} * {smallest} + 99) div 100) + 1"))
     sets = members.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "copies")).alias("rep"), F.max("n").alias("n"))
     alive = sets.join(shared, "k1").where(F.col("shared") >= need)
 

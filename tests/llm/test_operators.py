@@ -99,6 +99,27 @@ def test_jaccard_join(spark, corpus, rare, block):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter((d, *want[d, t]) for d, t in corpus)
 
 
+def test_jaccard_prefix_shows_enough():
+    """Tokens that both prefixes show when all that a pair does not share comes first."""
+    for percent in (50, 80, 90):
+        for n in range(1, 120):
+            e, need = jaccard_join.prefix(n, percent)
+            for other in range(1, 2 * n + 2):
+                c = -(-percent * (n + other) // (100 + percent))
+                if c <= min(n, other):
+                    assert need <= min(c, e - (n - c), jaccard_join.prefix(other, percent)[0] - (other - c))
+
+
+def test_jaccard_short_documents(spark):
+    """8 words, and the same with one more before or after them: 4 of 5 shingles."""
+    rows = []
+    for i in range(40):
+        words = [f"w{i}x{j}" for j in range(8)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, "more"] if i % 2 else ["more", *words]))]
+    got = {r.doc_id: r.component_id for r in jaccard_join.components(docs(spark, rows)).collect()}
+    assert got == {d: d // 2 * 2 for d, _ in rows}
+
+
 def test_jaccard_dedup(spark, corpus):
     want = brute_components(corpus)
     stay = jaccard_join.deduplicate(docs(spark, corpus)).collect()

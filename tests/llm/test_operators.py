@@ -7,6 +7,7 @@ import random
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,6 +305,23 @@ def test_decontaminate(spark):
     assert decontaminate.matches(df.limit(0), benchmark).count() == 0 and decontaminate.matches(df, benchmark.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [10**3, 10**6, 10**9])
+def test_decontaminate_finds_copies_at_any_size(n):
+    """Copies of items of any length, exact or with an eighth of other words, among words that are the rarest of n documents."""
+    rng = random.Random(n)
+    items = [[f"i{i}x{j}".encode() for j in range(size)] for i, size in enumerate([1, 2, 5, 6, 7, 15, 16, 17, 20, 32, 33, 37, 63, 64] * 2)]
+    vocabulary = {w: k for k, w in enumerate(sorted({w for x in items for w in x}))}
+    block = decontaminate.Block(list(range(len(items))), items, [x[-max(1, len(x) // 4) :] for x in items], vocabulary)
+    idf = np.full(len(vocabulary), math.log(50) + 1)  # in just under 2 % of the documents
+    finder = decontaminate.Finder(block, idf, math.log(n + 1) + 1, np.eye(len(vocabulary)), decontaminate.NEAR)
+    for i, item in enumerate(items):
+        for every in (0, 8):
+            words = [b"other" if every and len(item) >= 8 and j % every == 1 else w for j, w in enumerate(item)]
+            for before, after in ((0, 0), (rng.randrange(200), rng.randrange(200)), (77, 0), (0, 78)):
+                text = b" ".join([*(b"a%d" % k for k in range(before)), *words, *(b"z%d" % k for k in range(after))])
+                assert [r[0] for r in finder.search(text)] == [i]
+
+
 def test_subsequence():
     rng = random.Random(4)
     for _ in range(200):

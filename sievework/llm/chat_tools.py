@@ -4,9 +4,10 @@ An assistant turn whose text is a JSON object with "tool_calls" holds calls ({"i
 "arguments"}); a turn of role tool holds a result ({"tool_call_id", "content"}). Calls and results
 are joined by hash on conversation and identifier. An argument {"$ref": id} makes a call depend on
 another of its conversation; calls get the level of the longest chain of references below them,
-found by joins that go one level at a time. Arguments are validated against the tool's JSON schema,
-and every message, call and result is one row of canonical JSON (sorted keys, no blanks, UTF-8).
-Rows, not conversations, are the unit: a conversation of any length is never in one task's memory.
+found by joins between stretches of `TURNS` turns, whatever the chain's length, and in memory
+within them. Arguments are validated against the tool's JSON schema, and every message, call and
+result is one row of canonical JSON (sorted keys, no blanks, UTF-8). Rows, not conversations, are
+the unit: of a conversation, one task holds the references of `TURNS` turns at most.
 Ordered by conv_id, turn, part, level, position they read as the conversation; calls come
 in topological order.
 
@@ -38,6 +39,8 @@ TOOLS: Mapping[str, dict] = {
     "fetch": {"type": "object", "properties": {"url": {"type": "string", "pattern": "^https?://"}, "headers": {"type": "object"}}, "required": ["url"]},
 }
 
+TURNS = 1024  # turns of a conversation whose calls are ordered together
+
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
@@ -132,24 +135,52 @@ def parts(conversations: DataFrame, tools: Mapping[str, dict] = TOOLS) -> DataFr
     return slim.mapInArrow(run, PARTS)
 
 
-def levelled(calls: DataFrame, most: int = 1000) -> DataFrame:
-    """conv_id, call_id, level of the calls (conv_id, call_id, turn, refs) whose references can be ordered."""
-    edges = checkpointed(calls.select("conv_id", "call_id", "turn", F.explode("refs").alias("ref")))
+def ordered(group: pa.Table) -> pa.Table:
+    """conv_id, call_id, turn, level of the calls of a group that need only calls of known level and each other."""
+    turn, missing, top, users = {}, {}, {}, {}
+    for call, t, ref, level in zip(*(group.column(c).to_pylist() for c in ("call_id", "turn", "ref", "level")), strict=True):
+        turn[call] = t
+        missing[call] = missing.get(call, 0) + (level is None)
+        top[call] = max(top.get(call, -1), -1 if level is None else level)
+        if level is None:
+            users.setdefault(ref, []).append(call)
+    done = [c for c, n in missing.items() if not n]
+    for c in done:  # grows
+        for u in users.get(c, ()):
+            if turn[c] is not None and turn[u] is not None and turn[c] <= turn[u]:
+                missing[u] -= 1
+                top[u] = max(top[u], top[c] + 1)
+                if not missing[u]:
+                    done.append(u)
+    conv = group.column("conv_id")[0].as_py()
+    columns = ([conv] * len(done), done, [turn[c] for c in done], [top[c] + 1 for c in done])
+    return pa.table({n: pa.array(v, t) for (n, t), v in zip(_LEVELS, columns, strict=True)})
+
+
+_LEVELS = (("conv_id", pa.int64()), ("call_id", pa.string()), ("turn", pa.int64()), ("level", pa.int32()))
+
+
+def levelled(calls: DataFrame, turns: int = TURNS) -> DataFrame:
+    """conv_id, call_id, level of the calls (conv_id, call_id, turn, refs) whose references can be ordered.
+
+    A round joins the levels that the last one found to the references, and orders what then can be among the calls
+    of each `turns` turns of a conversation; a chain takes a round each time it leaves such a stretch."""
+    edges = calls.select("conv_id", "call_id", "turn", F.explode("refs").alias("ref"), F.lit(None).cast("int").alias("level"))
+    edges = checkpointed(edges)
     known = calls.where(F.size("refs") == 0).select("conv_id", "call_id", "turn", F.lit(0).alias("level"))
     if edges.isEmpty():
         return known.drop("turn")
-    needs = checkpointed(edges.groupBy("conv_id", "call_id", "turn").agg(F.countDistinct("ref").alias("need")))
-    known = checkpointed(known)
-    for level in range(1, most):
-        # What refers only to calls of lower levels, in its own turn or before, is next.
-        below = known.select("conv_id", F.col("call_id").alias("ref"), F.col("turn").alias("at"))
-        met = edges.join(below, ["conv_id", "ref"]).where("at <= turn").groupBy("conv_id", "call_id").agg(F.countDistinct("ref").alias("met"))
-        new = needs.join(met, ["conv_id", "call_id"]).where("met = need").join(known.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
-        new = checkpointed(new.select("conv_id", "call_id", "turn", F.lit(level).alias("level")))
+    known = new = checkpointed(known)
+    while True:  # a round without new levels is the last
+        # References to calls in their own turn or before count.
+        below = new.select("conv_id", F.col("call_id").alias("ref"), F.col("turn").alias("at"), F.col("level").alias("found"))
+        met = F.coalesce("level", F.when(F.col("at") <= F.col("turn"), F.col("found")))
+        edges = checkpointed(edges.join(below, ["conv_id", "ref"], "left").select("conv_id", "call_id", "turn", "ref", met.alias("level")))
+        new = checkpointed(edges.groupBy("conv_id", F.expr(f"turn div {turns}")).applyInArrow(ordered, "conv_id long, call_id string, turn long, level int"))
         if new.isEmpty():
-            break
+            return known.drop("turn")
+        edges = edges.join(new.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
         known = checkpointed(known.unionByName(new))
-    return known.drop("turn")
 
 
 def formatted(conversations: DataFrame, tools: Mapping[str, dict] = TOOLS) -> DataFrame:

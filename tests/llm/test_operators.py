@@ -353,6 +353,29 @@ def test_chat_tools(spark):
     assert chat_tools.formatted(df.limit(0)).count() == 0
 
 
+def test_chat_tools_long_chain(spark):
+    call = lambda i, *refs: json.dumps({"tool_calls": [{"id": f"c{i}", "name": "other", "arguments": [{"$ref": f"c{r}"} for r in refs]}]})
+    n = 2100
+    rows = [(1, i, "assistant", call(i, *([i - 1, i // 2] if i else []))) for i in range(n)] + [(2, 0, "assistant", call(0, 0)), (2, 1, "assistant", call(1, 0))]
+    got = chat_tools.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("kind = 'call'").collect()
+    assert {(r.turn, r.level, r.status) for r in got if r.conv_id == 1} == {(i, i, "unlinked") for i in range(n)}
+    assert [(r.level, r.status) for r in got if r.conv_id == 2] == [(None, "cyclic")] * 2
+
+
+def test_chat_tools_levels(spark):
+    """Random references, forward and in circles too, against levels taken one by one; in stretches of any length."""
+    rng = random.Random(8)
+    calls = {f"c{i}": (rng.choice([None, *[i // 3] * 9]), sorted({f"c{rng.randrange(max(0, i - 5), i + (0 if rng.random() < 0.9 else 3))}" for _ in range(rng.randint(0, 2))})) if i else (0, []) for i in range(60)}
+    want, more = {}, True
+    while more:
+        new = {c: max([want[r] for r in refs], default=-1) + 1 for c, (t, refs) in calls.items() if c not in want and all(r in want and t is not None and calls[r][0] is not None and calls[r][0] <= t for r in refs)}
+        more = bool(new)
+        want |= new
+    df = spark.createDataFrame([(7, c, t, refs) for c, (t, refs) in calls.items()], "conv_id long, call_id string, turn long, refs array<string>")
+    for turns in (3, 1024):
+        assert {r.call_id: r.level for r in chat_tools.levelled(df, turns).collect()} == want
+
+
 def test_schema_errors():
     schema = {"type": "object", "properties": {"a": {"type": "array", "items": {"type": "integer", "minimum": 0}}, "b": {"enum": [1, 2]}}, "required": ["a"], "additionalProperties": False}
     assert chat_tools.errors({"a": [1, 2], "b": 1}, schema) == []

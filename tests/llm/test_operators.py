@@ -322,6 +322,14 @@ def test_decontaminate_finds_copies_at_any_size(n):
                 assert [r[0] for r in finder.search(text)] == [i]
 
 
+def test_decontaminate_sample_of_repeated_documents(spark):
+    """Rows that share a doc_id count once among the sampled documents."""
+    vocabulary = {b"w%d" % i: i for i in range(20)}
+    df = docs(spark, [(i, f"w{i}") for i in range(20) for _ in range(5)])
+    rows = decontaminate.sampled_passages(df, vocabulary, np.ones(20), 4).collect()
+    assert len({bytes(r["at"]) for r in rows}) == 4
+
+
 def test_subsequence():
     rng = random.Random(4)
     for _ in range(200):

@@ -21,10 +21,14 @@ MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def ready(spark: SparkSession) -> None:
-    """Make sure that checkpoints have a folder: spark.checkpoint.dir, or one of our own where it is unset."""
+    """Make sure that checkpoints have a folder: spark.checkpoint.dir, or one of our own in local mode.
+
+    On a cluster without the setting this fails, as executors would each write to their own disk."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sievework-"))
 
 
@@ -43,6 +47,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return out
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     plain = F.octet_length(text) == F.char_length(text)
@@ -148,9 +157,4 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(x)))
 
 
-def columns_of(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, whatever others the table has."""
-    return df.select(*names)
-
-
 Batches = Iterator[pa.RecordBatch]

@@ -3,9 +3,10 @@
 A text is cut where its own content says so (after a sentence mark or line end, at least
 `CHUNK_LEAST` and at most `CHUNK_MOST` characters on), every chunk gets an identifier, and a
 document's recipe is the ordered list of its chunks' identifiers. Equal recipes mean equal texts
-because identifiers are verified: the distinct chunk texts are grouped by identifier once, with
-map-side combining, and if one identifier stands for two texts the next, wider kind is taken; the
-last kind is the chunk's text itself. After that only recipes move, never documents.
+because identifiers are verified: chunks are deduplicated with their identifiers, combined before
+the shuffle, so that a chunk moves once however many documents have it, and an identifier must have
+one chunk; else the next kind is taken, and the last kind is the chunk's text itself. After that
+only recipes move, never documents.
 
 Defined results: a null text counts as empty; empty texts are equal to each other; rows without
 doc_id take part, but a row with a doc_id is kept before them; of repeated rows with the same
@@ -20,13 +21,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import checkpointed
+from sievework.llm.common import checkpointed, whole_row
 
 CHUNK_LEAST, CHUNK_MOST = 512, 4096
 
 #: Kinds of identifier, from narrow to exact.
 IDENTIFIERS: Sequence[Callable[[Column], Column]] = (
-    lambda chunk: F.hex(F.xxhash64(chunk)),
     lambda chunk: F.sha2(chunk, 256),
     lambda chunk: chunk,
 )
@@ -40,15 +40,9 @@ def chunks(text: Column, least: int = CHUNK_LEAST, most: int = CHUNK_MOST) -> Co
 
 def verified(texts: DataFrame, identifier: Callable[[Column], Column]) -> bool:
     """Whether no two different chunks share an identifier."""
-    # Smallest and largest text of an identifier, combined before the shuffle: a chunk that a third
-    # of all documents have is one row per task.
-    different = (
-        texts.select(F.explode(chunks(F.col("text"))).alias("chunk"))
-        .groupBy(identifier(F.col("chunk")).alias("id"))
-        .agg(F.min("chunk").alias("a"), F.max("chunk").alias("b"))
-        .where("a <> b")
-    )
-    return different.isEmpty()
+    # A chunk that a third of all documents have is one row per task; identifiers alone are counted.
+    single = texts.select(F.explode(chunks(F.col("text"))).alias("chunk")).select(identifier(F.col("chunk")).alias("id"), "chunk").distinct()
+    return single.groupBy("id").count().where("count > 1").isEmpty()
 
 
 def recipes(docs: DataFrame, identifiers: Sequence[Callable[[Column], Column]] = IDENTIFIERS) -> DataFrame:
@@ -88,7 +82,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Copies that are dropped are a minority that carry only their doc_id and digest; the rows that
     stay are found by anti-join on both, and exact repeats of a kept row go by their number."""
-    row = F.struct(*docs.columns).alias("row")
+    row = whole_row(docs).alias("row")
     own = docs.select(row, F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
     found = groups(docs)
     drop = found.groupBy(F.col("doc_id").alias("d"), F.col("text_sha256").alias("s")).agg(
@@ -97,5 +91,5 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     joined = own.join(drop, own["id"].eqNullSafe(drop["d"]) & (own["digest"] == drop["s"]), "left")
     clean = joined.where("there is null").select("row.*")
     # A kept row with repeats of itself: its columns may differ from theirs, so one is taken.
-    again = joined.where("stay > 0").groupBy("d", "s").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    again = joined.where("stay > 0").groupBy("d", "s").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return clean.unionByName(again.select("row.*"))

@@ -79,8 +79,8 @@ def _rule(h: str, p: str) -> str:
 
 
 _LONGEST = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
-_TEMPLATE_WORDS = ", ".join(f"('{t.label}', {i}, '{w}')" for t in license_scan.TEMPLATES for i, w in enumerate(t.words))
-_TEMPLATE_KEYS = ", ".join(f"('{t.label}', {at + j}, '{w}')" for t in license_scan.TEMPLATES for at, phrase in t.keys for j, w in enumerate(phrase))
+_TEMPLATE_WORDS = ", ".join(f"({n}, '{t.label}', {i}, '{w}')" for n, t in enumerate(license_scan.TEMPLATES) for i, w in enumerate(t.words))
+_TEMPLATE_KEYS = ", ".join(f"({n}, {at + j}, '{w}')" for n, t in enumerate(license_scan.TEMPLATES) for at, phrase in t.keys for j, w in enumerate(phrase))
 _BASE = ", ".join(f"('{label}', [{', '.join(repr(w) for w in phrase.split())}])" for phrase, label in PHRASES.items())
 
 ORACLE_SQL: dict[str, str] = {
@@ -114,22 +114,20 @@ ORACLE_SQL: dict[str, str] = {
     "op8_license_scan": rf"""
         WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {UP}, {LOW}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents),
         spots AS (SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS i FROM docs),
-        tw(label, pos, word) AS (VALUES {_TEMPLATE_WORDS}),
-        tk(label, pos, word) AS (VALUES {_TEMPLATE_KEYS}),
+        tw(t, label, pos, word) AS (VALUES {_TEMPLATE_WORDS}),
+        tk(t, pos, word) AS (VALUES {_TEMPLATE_KEYS}),
         base(label, phrase) AS (VALUES {_BASE}),
         hit AS (SELECT * FROM spots WHERE w IN (SELECT word FROM tw)),
         n AS (SELECT count(*) AS n FROM docs),
         idf AS (SELECT word, ln((SELECT n + 1 FROM n)::DOUBLE / (count(DISTINCT doc_id) + 1)) + 1 AS idf
                 FROM (SELECT DISTINCT word FROM tw) v LEFT JOIN hit ON w = word GROUP BY word),
-        weighted AS (SELECT label, pos, word, idf, sum(idf) OVER (PARTITION BY label) AS total,
-                            row_number() OVER (PARTITION BY label ORDER BY idf DESC, pos) AS rarity FROM tw JOIN idf USING (word)),
-        starts AS (SELECT DISTINCT doc_id, label, i - pos AS start FROM hit JOIN weighted ON w = word WHERE rarity <= 3),
-        scored AS (SELECT s.doc_id, s.label, s.start, sum(idf) / any_value(total) AS score
-                   FROM starts s JOIN weighted USING (label) JOIN hit h ON h.doc_id = s.doc_id AND h.i = s.start + pos AND h.w = word GROUP BY ALL),
-        need AS (SELECT label, count(*) AS keys FROM tk GROUP BY label),
-        firm AS (SELECT s.doc_id, s.label, s.start, s.score
-                 FROM scored s JOIN need USING (label) JOIN tk ON tk.label = s.label JOIN hit h ON h.doc_id = s.doc_id AND h.i = s.start + tk.pos AND h.w = tk.word
-                 WHERE score >= 0.8 GROUP BY s.doc_id, s.label, s.start, s.score, keys HAVING count(*) = keys),
+        weighted AS (SELECT t, label, pos, word, idf, sum(idf) OVER (PARTITION BY t) AS total FROM tw JOIN idf USING (word)),
+        scored AS (SELECT doc_id, t, label, i - pos AS start, sum(idf) / any_value(total) AS score
+                   FROM hit JOIN weighted ON w = word GROUP BY doc_id, t, label, i - pos HAVING sum(idf) / any_value(total) >= 0.8),
+        need AS (SELECT t, count(*) AS keys FROM tk GROUP BY t),
+        firm AS (SELECT s.doc_id, s.t, s.label, s.start, s.score
+                 FROM scored s JOIN need USING (t) JOIN tk ON tk.t = s.t JOIN hit h ON h.doc_id = s.doc_id AND h.i = s.start + tk.pos AND h.w = tk.word
+                 GROUP BY s.doc_id, s.t, s.label, s.start, s.score, keys HAVING count(*) = keys),
         places AS (SELECT a.doc_id, b.label, a.i FROM spots a JOIN base b ON a.w = b.phrase[1] JOIN docs d USING (doc_id)
                    WHERE d.words[a.i + 1 : a.i + len(b.phrase)] = b.phrase),
         pb AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM places GROUP BY doc_id),

@@ -1,7 +1,9 @@
 """Mixing to target weights by iterative proportional fitting, in DataFrame functions only.
 
 Documents fall into cells of source x language x topic, and a cell weighs its tokens. The table of
-cells is raked: in turn each margin's weights are scaled to its targets, until all three fit. A
+cells is raked: in turn each margin's weights are scaled to its targets, until all three fit to
+within `TOLERANCE` (or, where empty cells make the margins contradict each other, until a cycle no
+longer brings them nearer). A
 document's calibrated rate is its cell's raked share of the budget over the cell's tokens; it is
 taken floor(rate) times and once more with the fraction as probability, decided by a hash of its
 doc_id and text, so that a run can be repeated.
@@ -11,7 +13,8 @@ their proportions to each other; None for a whole margin means equal shares for
 Values that do not occur are left out and the others scaled up. If the margins contradict each
 other because cells are empty, the last margin (topic) is the one that fits.
 
-Defined results: null sources and languages are values of their own; null or empty text has no
+Defined results: null sources and languages are values of their own, apart from empty ones, and have no
+target but that of ""; null or empty text has no
 tokens, and a document without tokens is taken at the rate of its cell, 0 if the cell has none;
 repeated rows are decided alike; an empty table gives an empty result; other columns pass through
 `sample` unchanged.
@@ -19,15 +22,17 @@ repeated rows are decided alike; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import checkpointed
+from sievework.llm.common import checkpointed, whole_row
 
 MARGINS = ("source", "lang", "topic")
-CYCLES = 10
+CYCLES = 200  # at most; a cycle over a few cells costs nothing
+TOLERANCE = 1e-9
 CELLS_FEW = 50_000
 Targets = Mapping[str, Mapping[str, float] | None]
 
@@ -56,44 +61,64 @@ def target_share(margin: str, targets: Mapping[str, float] | None) -> Column:
         return F.lit(1.0)
     named = F.create_map(*[x for k, v in targets.items() if k for x in (F.lit(k), F.lit(float(v)))]) if any(targets) else None
     rest = F.lit(float(targets.get("", 0.0))) * F.col("w") / F.nullif(F.col("rest"), F.lit(0.0))
-    own = F.try_element_at(named, F.col("value")) if named is not None else F.lit(None).cast("double")
+    own = F.try_element_at(named, F.coalesce("value", F.lit(""))) if named is not None else F.lit(None).cast("double")
     return F.coalesce(own, rest, F.lit(0.0))
 
 
 def margin_targets(cells: DataFrame, margin: str, targets: Mapping[str, float] | None) -> DataFrame:
     """value, share: shares of the values that occur with tokens; they add up to 1."""
-    rows = cells.groupBy(F.coalesce(margin, F.lit("")).alias("value")).agg(F.sum("w").alias("w")).where("w > 0")
+    rows = cells.groupBy(F.col(margin).alias("value")).agg(F.sum("w").alias("w")).where("w > 0")
     named = [k for k in targets or () if k]
-    other = F.when(~F.col("value").isin(named), F.col("w")) if named else F.col("w")
+    other = F.when(F.col("value").isNull() | ~F.col("value").isin(named), F.col("w")) if named else F.col("w")
     rows = rows.withColumn("rest", rows.agg(F.sum(other)).scalar())
     rows = rows.select("value", target_share(margin, targets).alias("t"))
     total = rows.agg(F.sum("t")).scalar()
     return rows.select("value", (F.col("t") / total).alias("share"))
 
 
-def rake(cells: DataFrame, targets: Targets, cycles: int = CYCLES, few: int = CELLS_FEW) -> DataFrame:
+def residual(cells: DataFrame) -> float:
+    """Largest difference of a margin's raked share from its target; cells: MARGINS, share_<margin>, r."""
+    off = [cells.groupBy(m).agg(F.sum("r").alias("have"), F.max(f"share_{m}").alias("aim")).where("aim is not null").agg(F.max(F.abs(F.col("have") - F.col("aim"))).alias("d")) for m in MARGINS]
+    rows = off[0].unionByName(off[1]).unionByName(off[2]).agg(F.max("d")).first()
+    return rows[0] or 0.0
+
+
+def scaled(now: DataFrame, m: str, few: bool) -> DataFrame:
+    """One margin's step."""
+    if few:
+        have = F.sum("r").over(Window.partitionBy(m))
+        return now.withColumn("r", F.coalesce(F.col("r") * F.col(f"share_{m}") / F.nullif(have, F.lit(0.0)), F.lit(0.0)))
+    have = now.groupBy(F.col(m).alias("value")).agg(F.sum("r").alias("have"))
+    joined = now.join(have, F.col(m).eqNullSafe(F.col("value")))
+    return joined.withColumn("r", F.coalesce(F.col("r") * F.col(f"share_{m}") / F.nullif("have", F.lit(0.0)), F.lit(0.0))).drop("value", "have")
+
+
+def rake(cells: DataFrame, targets: Targets, cycles: int = CYCLES, few: int = CELLS_FEW, tolerance: float = TOLERANCE, at_once: int = 5) -> DataFrame:
     """cells (source, lang, topic, w) with raked weight r; weights add up to 1 where any cell has tokens.
 
     Up to `few` cells are raked in one task by windows; more of them by an aggregation and a join for
-    each step, written out after it. Both do the same arithmetic."""
+    each step, written out after it. Both do the same arithmetic. The fit is looked at after every
+    `at_once` cycles; raking ends when all margins are within `tolerance`, when that no longer
+    improves by a hundredth, or after `cycles`."""
     now = cells
     for m in MARGINS:
         aims = margin_targets(cells, m, targets.get(m)).select(F.col("value").alias(f"value_{m}"), F.col("share").alias(f"share_{m}"))
-        now = now.join(aims, F.coalesce(m, F.lit("")) == F.col(f"value_{m}"), "left").drop(f"value_{m}")
+        now = now.join(aims, F.col(m).eqNullSafe(F.col(f"value_{m}")), "left").drop(f"value_{m}")
     total = cells.agg(F.sum("w")).scalar()
     now = checkpointed(now.withColumn("r", F.coalesce(F.col("w") / F.nullif(total, F.lit(0.0)), F.lit(0.0))))
     small = now.count() <= few
     if small:
         now = now.coalesce(1)
-    for _ in range(cycles):
-        for m in MARGINS:
-            if small:
-                have = F.sum("r").over(Window.partitionBy(m))
-                now = now.withColumn("r", F.coalesce(F.col("r") * F.col(f"share_{m}") / F.nullif(have, F.lit(0.0)), F.lit(0.0)))
-            else:
-                have = now.groupBy(F.col(m).alias("value")).agg(F.sum("r").alias("have"))
-                now = now.join(have, F.col(m).eqNullSafe(F.col("value"))).withColumn("r", F.coalesce(F.col("r") * F.col(f"share_{m}") / F.nullif("have", F.lit(0.0)), F.lit(0.0))).drop("value", "have")
-                now = checkpointed(now)
+    done, off = 0, math.inf
+    while done < cycles:
+        for _ in range(min(at_once, cycles - done)):
+            for m in MARGINS:
+                now = scaled(now, m, small)
+                now = now if small else checkpointed(now)
+        now, done = checkpointed(now), done + at_once
+        was, off = off, residual(now)
+        if off <= tolerance or off > 0.99 * was:
+            break
     return now.drop(*[f"share_{m}" for m in MARGINS])
 
 
@@ -103,14 +128,16 @@ def rated(docs: DataFrame, targets: Targets, budget: float = 0.3, cycles: int =
     budget: tokens to take as a share of all tokens."""
     topic = topic_of(F.col("text")) if topic is None else topic
     facts = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
+        whole_row(docs).alias("row"), F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
         topic.alias("topic"), n_tokens(F.col("text")).alias("tokens"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u"),
     )
     cells = checkpointed(facts.groupBy(*MARGINS).agg(F.sum("tokens").cast("double").alias("w")))
     all_tokens = cells.agg(F.sum("w")).scalar()
     rates = checkpointed(rake(cells, targets, cycles)).select(*MARGINS, F.coalesce(F.col("r") * budget * all_tokens / F.nullif(F.col("w"), F.lit(0.0)), F.lit(0.0)).alias("rate"))
     # Broadcast only if the table of cells was counted to be small; else Spark splits a hot cell's rows.
-    known = facts.join(F.broadcast(rates) if cells.count() <= CELLS_FEW else rates, list(MARGINS))
+    rates = rates.select(*[F.col(m).alias(f"of_{m}") for m in MARGINS], "rate")
+    same = F.col("source").eqNullSafe(F.col("of_source")) & F.col("lang").eqNullSafe(F.col("of_lang")) & (F.col("topic") == F.col("of_topic"))
+    known = facts.join(F.broadcast(rates) if cells.count() <= CELLS_FEW else rates, same)
     whole = F.floor("rate")
     return known.withColumn("copies", (whole + F.when(F.col("u") < F.col("rate") - whole, 1).otherwise(0)).cast("long"))
 

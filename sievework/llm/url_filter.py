@@ -5,8 +5,9 @@ Listed urls are brought to a canonical form and hashed. The filter is an array o
 block alone. The page side probes the filter inside the scan's projection; only possible hits reach
 the hash join with the list, which removes false positives.
 
-The filter is sent to executors as a scalar subquery and is bounded by `most_blocks`; a longer list
-gets more false positives, and no wrong result. The list itself is broadcast only if its measured
+The filter is built once, written out, and read by the pages' tests as a scalar subquery; it is
+bounded by `most_blocks` (32 MB with the default, for 25 million keys at ten bits each; a longer list gets
+more false positives, and no wrong result). The list itself is broadcast only if its measured
 size is under `broadcast_rows`; beyond that, possible hits (not pages) are shuffled to it.
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no rule and is
@@ -21,12 +22,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import lower_ascii
+from sievework.llm.common import checkpointed, lower_ascii, whole_row
 
 #: (host, path, verdict)
 Rule = tuple[str, str, str]
 
-BLOCKS_MOST = 1 << 15  # of 32 bytes: 1 MB
+BLOCKS_MOST = 1 << 20  # of 32 bytes: 32 MB
 BROADCAST_ROWS = 100_000
 KEYS_PER_BLOCK = 24  # about 10 bits a key
 SALTS = tuple((i * 0x9E3779B1 + 0x7F4A7C15) % (1 << 32) | 1 for i in range(1, 9))
@@ -103,7 +104,9 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = (), *, ke
     keys = listed_keys(listed)
     n = keys.count()
     blocks = 1 << max(0, min(most_blocks.bit_length() - 1, (n // KEYS_PER_BLOCK).bit_length()))
-    words = bloom(keys, blocks).scalar()
+    built = checkpointed(bloom(keys, blocks))
+    # A subquery's value is read in place; as a column it would be copied into every row.
+    words = built.scalar()
     host, path = F.col("host"), F.col("path")
     parsed = pages.select(*keep, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = rule_of(host, path, rules)
@@ -131,5 +134,5 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = (), *, ke
 
 def filter_pages(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = ()) -> DataFrame:
     """The pages whose url is allowed, with all their columns."""
-    packed = pages.select("url", F.struct(*pages.columns).alias("sieve_row"))
+    packed = pages.select("url", whole_row(pages).alias("sieve_row"))
     return judge(packed, listed, rules, keep=("sieve_row",)).where("verdict = 'allow'").select("sieve_row.*")

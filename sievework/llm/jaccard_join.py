@@ -38,10 +38,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.llm import exchange
-from sievework.llm.common import WordHashes, binary, blob, checkpointed, pieces, rolling, runs
+from sievework.llm.common import WordHashes, binary, blob, checkpointed, pieces, rolling, runs, whole_row
 from sievework.llm.components import connected_components
 
 WIDTH, PERCENT, RARE, BLOCK = 5, 80, 64, 1024
+BLOCK_BYTES = 64_000_000  # of tokens, of a block on average
 DELEGATES = 16  # sets of a component found in a block that stand for it in the second comparison
 ENTRIES = 1_500_000  # entries that a map task holds before it sends them
 
@@ -253,7 +254,8 @@ def node(k1: str = "k1", k2: str = "k2"):
 
 def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, rare: int = RARE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(one row per document: doc_id, k1, k2, n; true spanning links a, b between set names)."""
-    spark = docs.sparkSession
+    if not 67 <= percent <= 100:
+        raise ValueError("percent must be from 67 to 100: below, two sets may share frequent tokens and no two in a row")
     buckets = max(12, -(-docs.count() // 10_000))  # about two million entries each
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sent = texts.mapInArrow(sent_sets(percent, width, buckets), exchange.SCHEMA).repartition(buckets, "bucket")
@@ -298,8 +300,11 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, rare: int
     linked = keys.join(lows, "key").select(F.col("k1").alias("a"), F.col("low").alias("b"))
     candidates = connected_components(linked.where("a <> b"))
 
-    sizes = candidates.groupBy(F.col("label").alias("cc")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    named = candidates.select(F.col("node").alias("k1"), F.col("label").alias("cc")).join(sizes, "cc")
+    candidates = candidates.select(F.col("node").alias("k1"), F.col("label").alias("cc"))
+    # Blocks have `block` sets and BLOCK_BYTES of tokens on average.
+    bytes_ = F.sum(F.col("n").cast("long")) * 8
+    sizes = candidates.join(lengths, "k1").groupBy("cc").agg(F.ceil(F.greatest(F.count("*") / block, bytes_ / BLOCK_BYTES)).cast("int").alias("blocks"))
+    named = candidates.join(sizes, "cc")
     return members, true_links(whole_sets, named, percent, block)
 
 
@@ -321,6 +326,6 @@ def components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, rare
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """The documents that stay: of each component the row with the smallest doc_id (all rows that have it)."""
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"))
+    row = docs.select(whole_row(docs).alias("row"), F.col("doc_id").alias("id"))
     gone = components(docs, percent, width).where("component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct()
     return row.join(gone, "id", "left_anti").select("row.*")

@@ -16,13 +16,18 @@ plain message; several calls with one identifier: the first by turn and position
 others are marked duplicate; likewise results; calls without result and results without call are
 marked unlinked; references to unknown calls, to later turns or in a circle give level null and
 status "cyclic"; a call without a known schema has valid null. Rows without conv_id are formatted
-and never linked. Repeated rows are formatted each. An empty table gives an empty result; other
-columns are ignored.
+and never linked. Repeated rows are formatted each: the first of equal calls by turn and position is
+the call (a null turn comes before all others), and so is every exact repeat of its row. JSON that
+Python reads but no standard allows (NaN, infinities) and JSON nested deeper than `DEEPEST` is no
+JSON: the turn is a plain message, arguments sent as such a string stay a string. Code points that
+UTF-8 cannot carry (lone surrogates) become U+FFFD everywhere. An empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator, Mapping
 
@@ -39,6 +44,7 @@ TOOLS: Mapping[str, dict] = {
     "fetch": {"type": "object", "properties": {"url": {"type": "string", "pattern": "^https?://"}, "headers": {"type": "object"}}, "required": ["url"]},
 }
 
+DEEPEST = 100  # levels of nested objects and arrays
 TURNS = 1024  # turns of a conversation whose calls are ordered together
 
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
@@ -50,7 +56,7 @@ def errors(value, schema: dict, at: str = "$") -> list[str]:
         return []  # stands for another call's result
     found, kinds = [], schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds or []
-    if kinds and not any(isinstance(value, _TYPES[k]) and not (isinstance(value, bool) and k in ("integer", "number")) for k in kinds):
+    if kinds and not any(isinstance(value, _TYPES.get(k, ())) and not (isinstance(value, bool) and k in ("integer", "number")) for k in kinds):
         return [f"{at}: not of type {'/'.join(kinds)}"]
     if "enum" in schema and value not in schema["enum"]:
         found.append(f"{at}: not one of the values")
@@ -75,7 +81,42 @@ def errors(value, schema: dict, at: str = "$") -> list[str]:
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return whole(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def whole(text: str) -> str:
+    """The text with U+FFFD for what UTF-8 cannot carry."""
+    return re.sub("[\ud800-\udfff]", "\ufffd", text)
+
+
+def deep(value) -> bool:
+    """Whether objects and arrays are nested deeper than DEEPEST."""
+    level = [value]
+    for _ in range(DEEPEST + 1):
+        level = [x for v in level for x in (v.values() if isinstance(v, dict) else v if isinstance(v, list) else ())]
+        if not level:
+            return False
+    return True
+
+
+def refuse(name: str):
+    raise ValueError(name)
+
+
+def loaded(text: str):
+    """The JSON value of a text; ValueError if it is none that can be written again."""
+    try:
+        value = json.loads(text, parse_constant=refuse, parse_float=finite)
+    except RecursionError:
+        raise ValueError("too deep") from None
+    if deep(value):
+        raise ValueError("too deep")
+    return value
+
+
+def finite(digits: str) -> float:
+    value = float(digits)
+    return value if math.isfinite(value) else refuse(digits)
 
 
 def references(value) -> set[str]:
@@ -90,8 +131,8 @@ def parsed(text: str) -> dict | None:
     if not text.lstrip().startswith("{"):
         return None
     try:
-        value = json.loads(text)
-    except (ValueError, RecursionError):
+        value = loaded(text)
+    except ValueError:
         return None
     return value if isinstance(value, dict) else None
 
@@ -100,6 +141,11 @@ PARTS = "conv_id long, turn long, kind string, part int, position int, call_id s
 _ARROW = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.string(), pa.string()]
 
 
+def named(identifier) -> str | None:
+    """An identifier as text; numbers, objects and the like by their canonical JSON."""
+    return None if identifier is None else whole(identifier) if isinstance(identifier, str) else canonical(identifier)
+
+
 def parts_of(conv, turn, role: str | None, text: str | None, tools: Mapping[str, dict]) -> Iterator[tuple]:
     """Rows of one turn: its message, its calls, or its result."""
     role, text = role or "user", text or ""
@@ -112,14 +158,14 @@ def parts_of(conv, turn, role: str | None, text: str | None, tools: Mapping[str,
             given = call.get("arguments", {})
             if isinstance(given, str):  # arguments are often sent as a JSON string
                 try:
-                    given = json.loads(given)
-                except (ValueError, RecursionError):
+                    given = loaded(given)
+                except ValueError:
                     pass
             schema, name = tools.get(str(call.get("name"))), call.get("name")
             wrong = errors(given, schema) if schema is not None else ["no schema"]
-            yield conv, turn, "call", 1, i, str(call["id"]) if call.get("id") is not None else None, sorted(references(given)), None if schema is None else not wrong, "; ".join(wrong) or None, canonical({"arguments": given, "id": call.get("id"), "name": name})
+            yield conv, turn, "call", 1, i, named(call.get("id")), sorted(map(whole, references(given))), None if schema is None else not wrong, whole("; ".join(wrong)) or None, canonical({"arguments": given, "id": call.get("id"), "name": name})
     elif role == "tool" and value is not None and "tool_call_id" in value:
-        yield conv, turn, "result", 2, 0, str(value["tool_call_id"]), [], None, None, canonical({"role": role, "tool_call_id": value["tool_call_id"], "content": value.get("content")})
+        yield conv, turn, "result", 2, 0, named(value["tool_call_id"]), [], None, None, canonical({"role": role, "tool_call_id": value["tool_call_id"], "content": value.get("content")})
     else:
         yield conv, turn, "message", 0, 0, None, [], None, None, canonical({"role": role, "content": text})
 
@@ -197,7 +243,7 @@ def formatted(conversations: DataFrame, tools: Mapping[str, dict] = TOOLS) -> Da
     known = calls.join(answered, ["conv_id", "call_id"], "full").join(levels, ["conv_id", "call_id"], "left")
     keyed = linked.join(known, ["conv_id", "call_id"])
     own = F.xxhash64("json")
-    is_first = F.when(F.col("kind") == "call", (F.col("turn") == F.col("call_turn")) & (F.col("position") == F.col("call_position")) & (own == F.col("call_hash"))).otherwise((F.col("turn") == F.col("result_turn")) & (own == F.col("result_hash")))
+    is_first = F.when(F.col("kind") == "call", F.col("turn").eqNullSafe(F.col("call_turn")) & (F.col("position") == F.col("call_position")) & (own == F.col("call_hash"))).otherwise(F.col("turn").eqNullSafe(F.col("result_turn")) & (own == F.col("result_hash")))
     matched = F.col("call_turn").isNotNull() & F.col("result_turn").isNotNull() & (F.col("result_turn") >= F.col("call_turn"))
     status = F.when(~F.coalesce(is_first, F.lit(False)), "duplicate").when((F.col("kind") == "call") & F.col("level").isNull(), "cyclic").when(F.coalesce(matched, F.lit(False)), "linked").otherwise("unlinked")
     shown = ("conv_id", "turn", "part", "level", "position", "kind", "call_id", "status", "valid", "problems", "json")

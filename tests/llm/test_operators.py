@@ -4,6 +4,8 @@ import hashlib
 import json
 import math
 import random
+import re
+import string
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -121,6 +123,24 @@ def test_jaccard_short_documents(spark):
     assert got == {d: d // 2 * 2 for d, _ in rows}
 
 
+def test_jaccard_sets_of_all_sizes(spark):
+    """Pairs of sets of 1 to 40 shingles, at the bound and just below it, what differs at either end or inside."""
+    rows, at = [], 0
+    for n in range(1, 41):
+        for extra in sorted({n // 4, n // 4 + 1}):
+            for where in range(3):
+                words = [f"p{at}x{j}" for j in range(n + 4)]
+                more = [f"q{at}x{j}" for j in range(extra)]
+                other = more + words if where == 0 else words + more if where == 1 else words[:2] + more + words[2:]
+                rows += [(at, " ".join(words)), (at + 1, " ".join(other))]
+                at += 2
+    got = {r.doc_id: r.component_id for r in jaccard_join.components(docs(spark, rows)).collect()}
+    want = brute_components(rows)
+    assert got == {d: want[d, t][1] for d, t in rows} and sum(d != c for d, c in got.items()) > 60
+    with pytest.raises(ValueError):
+        jaccard_join.links(docs(spark, rows), 60)
+
+
 def test_jaccard_dedup(spark, corpus):
     want = brute_components(corpus)
     stay = jaccard_join.deduplicate(docs(spark, corpus)).collect()
@@ -197,6 +217,50 @@ def test_license_scan(spark):
     assert license_scan.scan(df.limit(0), phrases).count() == 0
 
 
+def brute_scan(texts, templates, share, phrases):
+    """Every start of every template in every text, by comparing word after word."""
+    split = [[w for w in re.split("[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", (t or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))) if w] for t in texts]
+    idf = lambda w: math.log((len(split) + 1) / (sum(w in set(ws) for ws in split) + 1)) + 1
+    out = []
+    for ws in split:
+        hits = set()
+        for t in templates:
+            own, weight = t.words, [idf(w) for w in t.words]
+            for start in range(-len(own), len(ws)):
+                there = [0 <= start + i < len(ws) and ws[start + i] == w for i, w in enumerate(own)]
+                score = sum(x for x, y in zip(weight, there, strict=True) if y) / sum(weight)
+                if score >= share and all(there[at + j] for at, p in t.keys for j in range(len(p))):
+                    hits.add((t.label, start, round(score, 9)))
+        out.append(hits)
+    return out
+
+
+def test_license_index_loses_no_start(spark):
+    """Copies of templates with words altered, the rarest first or at random, cut off at either end, and repeated."""
+    rng = random.Random(6)
+    templates = [t for t in license_scan.TEMPLATES if t.label in ("mit", "apache-2.0", "isc", "cc-by-nc-4.0")]
+    texts = [None, "", "the software the license"]
+    for i in range(60):
+        words = list(rng.choice(templates).words)
+        for _ in range(rng.randrange(len(words) // 4 + 1)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(50)}"
+        if i % 3 == 0:
+            words = words[rng.randrange(len(words) // 5 + 1) :]
+        texts.append(" ".join(["the", "of"] * rng.randrange(4) + words * rng.choice([1, 1, 2])))
+    got = {r.doc_id: {(h.label, h.start, round(h.score, 9)) for h in r.hits} for r in license_scan.scan(docs(spark, list(enumerate(texts))), {"cc by": "cc-by"}, templates).collect()}
+    want = brute_scan(texts, templates, license_scan.SHARE, {})
+    assert got == dict(enumerate(want)) and sum(map(bool, want)) > 20
+
+
+def test_license_rarest_words_altered(spark):
+    """Three rare words of 170 replaced: most of the weight is there."""
+    words = license_scan.Template("mit", license_scan.MIT, ()).words
+    for w in ("sublicense", "noninfringement", "merchantability"):
+        words[words.index(w)] = "other"
+    got = license_scan.scan(docs(spark, [(1, " ".join(words)), (2, "nothing")]), {"cc by": "cc-by"}).where("doc_id = 1").first()
+    assert "mit" in {h.label for h in got.hits}
+
+
 def test_suffix_tree_words(spark, corpus):
     got = suffix_tree.score(docs(spark, corpus), least=4).collect()
     tokens = [(d, (t or "").encode().lower().split() + [b"\n"]) for d, t in corpus]
@@ -240,6 +304,10 @@ def test_cotraining(spark):
     assert len(got) == 402 and sum(got[i].kept == bool(i % 4) for i in range(400)) >= 396
     kept = cotraining.keep_good(df, labels)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, r in got.items() if r.kept}
+    model = cotraining.fit(df, labels)
+    assert model["auc"] > 0.99 and model["tested"] > 10
+    twice = cotraining.keep_good(df.unionByName(df), labels)
+    assert twice.count() == 2 * kept.count()
     assert cotraining.scores(df, labels.limit(0)).where("kept").count() == 402
     assert cotraining.scores(df.limit(0), labels).count() == 0
 
@@ -266,6 +334,34 @@ def test_rake(spark, few):
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want) and len(got) == len(want)
 
 
+def test_rake_until_it_fits(spark):
+    """Margins that do not contradict each other are all met, and null is a value apart from the empty text."""
+    cells = [(s, g, t, float(5 + i * i)) for i, (s, g, t) in enumerate((s, g, t) for s in ("a", "", None) for g in ("en", "de") for t in ("x", "y"))]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, w double")
+    got = mixing.rake(df, {"source": None, "lang": {"en": 0.9, "de": 0.1}, "topic": {"x": 0.2, "y": 0.8}}).collect()
+    by = lambda m: {v: sum(r.r for r in got if r[m] == v) for v in {r[m] for r in got}}
+    assert all(abs(x - 1 / 3) < 1e-8 for x in by("source").values()) and set(by("source")) == {"a", "", None}
+    assert abs(by("lang")["en"] - 0.9) < 1e-8 and abs(by("topic")["x"] - 0.2) < 1e-8
+
+
+def test_mixing_decisions(spark):
+    """Copies against the rule by hand: floor of the rate, and one more if the row's hash falls below the fraction."""
+    rows = [(i, f"w{i} " * (50 + i % 9), "en" if i % 3 else "de", f"s{i % 4}", 1, "k", 1) for i in range(300)] + [(0, None, None, None, None, None, None)]
+    for r in mixing.decisions(spark.createDataFrame([*rows, rows[5]], DOCS), {"lang": {"en": 0.2, "de": 0.8}}, budget=1.5).collect():
+        text = next((x[1] or "" for x in rows if x[0] == r.doc_id and (r.n_tokens > 0) == bool(x[1])), "")
+        u = int(hashlib.md5(f"7:{r.doc_id}:{hashlib.md5(text.encode()).hexdigest()}".encode()).hexdigest()[:12], 16) / 16**12
+        assert r.copies == math.floor(r.rate) + (u < r.rate - math.floor(r.rate))
+
+
+def test_columns_with_dots(spark, corpus):
+    """Columns named with dots and back quotes, and of map type, pass through."""
+    df = docs(spark, corpus).withColumn("a.b", F.lit(1)).withColumn("c`d", F.lit(2)).withColumn("m", F.create_map(F.lit("k"), F.lit("v")))
+    for out in (exact_dedup.deduplicate(df), mixing.sample(df, {}, budget=1.0).drop("copies"), jaccard_join.deduplicate(df)):
+        assert out.columns == df.columns and out.count() > 0
+    pages = spark.createDataFrame([(1, "http://a.b/c", 3)], "page_id long, url string, `x.y` int")
+    assert url_filter.filter_pages(pages, spark.createDataFrame([], "url string")).columns == pages.columns
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (100 + i % 7), "en" if i % 3 else "de", f"s{i % 4}", 1, "k", 1) for i in range(2000)] + [(3000, None, None, None, None, None, None)]
     df = spark.createDataFrame(rows, DOCS)
@@ -384,6 +480,24 @@ def test_chat_tools_levels(spark):
         assert {r.call_id: r.level for r in chat_tools.levelled(df, turns).collect()} == want
 
 
+def test_chat_tools_bad_json(spark):
+    """Surrogates, numbers that JSON does not have, deep nesting, null turns, identifiers that are no strings."""
+    deep = "[" * 3000 + "]" * 3000
+    call = '{"tool_calls": [{"id": %s, "name": "search", "arguments": %s}]}'
+    rows = [
+        (1, 0, "assistant", call % ('"\\ud800x"', '{"query": "\\udc00"}')), (1, 1, "tool", '{"tool_call_id": "\\ud800x", "content": 1}'),
+        (1, 2, "assistant", call % ('"n"', '{"query": NaN}')), (1, 3, "assistant", call % ('"d"', deep)), (1, 4, "assistant", call % ('"s"', json.dumps(deep))),
+        (1, 5, "assistant", call % ('"i"', '{"query": 1e999}')), (1, None, "assistant", call % ('"t"', "{}")), (1, 6, "assistant", call % ("7", '{"query": "q", "limit": {"$ref": "n"}}')), (1, 7, "tool", '{"tool_call_id": 7}'),
+    ]
+    got = chat_tools.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    calls = {(r.turn, r.kind): r for r in got}
+    assert calls[0, "call"].call_id == "\ufffdx" and calls[0, "call"].status == "linked" and calls[1, "result"].status == "linked"
+    assert all(calls[t, "message"].json == chat_tools.canonical({"role": "assistant", "content": rows[t][3]}) and (t, "call") not in calls for t in (2, 3, 5))
+    assert json.loads(calls[4, "call"].json)["arguments"] == deep and calls[4, "call"].valid is False
+    assert calls[None, "call"].status == "unlinked" and calls[6, "call"].status == "cyclic" and calls[6, "call"].call_id == "7" and calls[7, "result"].status == "linked"
+    assert all(json.loads(r.json) is not None and "NaN" not in r.json for r in got if r.kind != "message")
+
+
 def test_schema_errors():
     schema = {"type": "object", "properties": {"a": {"type": "array", "items": {"type": "integer", "minimum": 0}}, "b": {"enum": [1, 2]}}, "required": ["a"], "additionalProperties": False}
     assert chat_tools.errors({"a": [1, 2], "b": 1}, schema) == []

@@ -25,8 +25,13 @@ def hash_pick(key: Column, salt: str, choices: Sequence) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in choices]), (stable_hash(F.concat(key, F.lit(salt))) % len(choices) + 1).cast("int"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x at so many digits, rounded by its binary value; ties, which few such values are, go to the even digit."""
+    return F.replace(F.format_number(x, digits), F.lit(",")).cast("double")
+
+
 def hash_strength(key: Column, low: float, high: float) -> Column:
-    return F.round(F.lit(low) + F.lit(high - low) * ((stable_hash(key) % 10000) / F.lit(10000.0)), 4)
+    return rounded(F.lit(low) + F.lit(high - low) * ((stable_hash(key) % 10000) / F.lit(10000.0)), 4)
 
 
 def hash_bernoulli(key: Column, share: float) -> Column:
@@ -87,9 +92,14 @@ def is_degraded(postprocess: Column) -> Column:
 
 def json_number(op_params: Column, key: str) -> Column:
     """Number at a key of a JSON object; null for strings, arrays, objects, missing keys and bad JSON."""
-    value = F.try_variant_get(F.try_parse_json(op_params), f"$.{key}", "variant")
+    return parsed_number(F.try_parse_json(op_params), key)
+
+
+def parsed_number(parsed: Column, key: str) -> Column:
+    """The same of a variant."""
+    value = F.try_variant_get(parsed, f"$.{key}", "variant")
     numeric = F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)")
-    return F.when(numeric, F.try_variant_get(F.try_parse_json(op_params), f"$.{key}", "double"))
+    return F.when(numeric, F.try_variant_get(parsed, f"$.{key}", "double"))
 
 
 def json_has(op_params: Column, key: str) -> Column:
@@ -101,8 +111,10 @@ def short_number(x: Column) -> Column:
 
 
 def nuisance_cell(op_params: Column) -> Column:
-    cfg, steps = json_number(op_params, "cfg_scale"), json_number(op_params, "steps")
-    return F.when(cfg.isNotNull() & steps.isNotNull(), F.concat(F.lit("cfg"), short_number(cfg), F.lit("/st"), short_number(steps)))
+    # The text is parsed once: a lambda's argument is evaluated before its body.
+    both = F.transform(F.array(F.try_parse_json(op_params)), lambda v: F.struct(parsed_number(v, "cfg_scale").alias("cfg"), parsed_number(v, "steps").alias("steps")))
+    text = F.transform(both, lambda n: F.concat(F.lit("cfg"), short_number(n["cfg"]), F.lit("/st"), short_number(n["steps"])))
+    return F.get(text, 0)
 
 
 def digitize(x: Column, edges: Sequence[float]) -> Column:

@@ -10,17 +10,48 @@ from pyspark.sql import functions as F
 
 POSTPROCESS = "struct<jpeg_quality:string,resize:string,blur:string,noise:string>"
 EXPLANATION = "struct<visual_evidence:string,semantic_inconsistency:string,manipulation_type:string,localization_description:string>"
-_TEXT = "string"
+# The record's fields, their types and order.
 FIELDS: dict[str, str] = {
-    "image_id": _TEXT, "image_path": _TEXT, "real_image_path": _TEXT, "mask_path": _TEXT, "is_fake": "int", "task_type": _TEXT,
-    **{f"manipulation_level{i}": _TEXT for i in (1, 2, 3, 4)},
-    **dict.fromkeys(("source_dataset", "generator_name", "generator_family", "prompt", "negative_prompt"), _TEXT),
-    "seed": "long", "steps": "int", "sampler": _TEXT, "cfg_scale": "double", "mask_source": _TEXT,
-    **dict.fromkeys(("mask_area_ratio", "quality_score", "strength"), "double"),
-    "postprocess": POSTPROCESS, **dict.fromkeys(("quality_bucket", "split", "license"), _TEXT), "explanation": EXPLANATION,
-    "init_timestep": "int", **dict.fromkeys(("operator", "op_params", "io_chain", "sample_kind", "compositing"), _TEXT),
-    "feather_px": "int", **dict.fromkeys(("probe_group", "pair_id", "base_id", "postprocess_of"), _TEXT),
-}
+    "image_id": "string",
+    "image_path": "string",
+    "real_image_path": "string",
+    "mask_path": "string",
+    "is_fake": "int",
+    "task_type": "string",
+    "manipulation_level1": "string",
+    "manipulation_level2": "string",
+    "manipulation_level3": "string",
+    "manipulation_level4": "string",
+    "source_dataset": "string",
+    "generator_name": "string",
+    "generator_family": "string",
+    "prompt": "string",
+    "negative_prompt": "string",
+    "seed": "long",
+    "steps": "int",
+    "sampler": "string",
+    "cfg_scale": "double",
+    "mask_source": "string",
+    "mask_area_ratio": "double",
+    "quality_score": "double",
+    "strength": "double",
+    "postprocess": POSTPROCESS,
+    "quality_bucket": "string",
+    "split": "string",
+    "license": "string",
+    "explanation": EXPLANATION,
+    "init_timestep": "int",
+    "operator": "string",
+    "op_params": "string",
+    "io_chain": "string",
+    "sample_kind": "string",
+    "compositing": "string",
+    "feather_px": "int",
+    "probe_group": "string",
+    "pair_id": "string",
+    "base_id": "string",
+    "postprocess_of": "string",
+}
 SCHEMA = ", ".join(f"{n} {t}" for n, t in FIELDS.items())
 
 # Fixed values of the record's vocabularies.

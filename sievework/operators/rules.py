@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.exprs import digitize, is_degraded, json_has, json_number, nongen_chain, nuisance_cell, path_suffix
+from sievework.functions.exprs import digitize, is_degraded, json_has, nongen_chain, nuisance_cell, path_suffix
+from sievework.operators.order import written
 
 KINDS, COMPOSITING = ("real", "real_vae_rt", "edited"), ("none", "paste", "paste_feather")
 MASKED = ("inpaint", "outpaint", "object_replacement", "background_editing")
@@ -25,9 +26,6 @@ def _count(rule: str, df: DataFrame, split: Column, key: Column) -> DataFrame:
     return _found(rule, rows, F.col("split"), F.col("key"), F.col("n"))
 
 
-NONE = F.lit  # placeholder columns are made with NONE(None)
-
-
 def v1(df: DataFrame) -> DataFrame:
     """Stored format: only .png beside exempt rows."""
     rows = df.where(~F.coalesce(F.col("io_chain") == "legacy", F.lit(False)) & ~is_degraded(F.col("postprocess"))).withColumn("suffix", path_suffix(F.col("image_path")))
@@ -49,7 +47,7 @@ def v3(df: DataFrame) -> DataFrame:
         F.when(kind.isNotNull() & ~kind.isin(list(KINDS)), F.concat(F.lit("kind:"), kind)), F.when(comp.isNotNull() & ~comp.isin(list(COMPOSITING)), F.concat(F.lit("compositing:"), comp)),
         F.when(masked & comp.isNull(), F.lit("compositing missing")), F.when(masked & (comp == "paste_feather") & F.col("feather_px").isNull(), F.lit("feather_px missing")),
     ))
-    return _count("V3", df.select(F.explode(wrong).alias("key")), NONE(None), F.col("key"))
+    return _count("V3", df.select(F.explode(wrong).alias("key")), F.lit(None), F.col("key"))
 
 
 def v4(df: DataFrame, low: float = 0.05, high: float = 0.35, min_real: int = 10, profile: str = "auto") -> DataFrame:
@@ -64,14 +62,14 @@ def v4(df: DataFrame, low: float = 0.05, high: float = 0.35, min_real: int = 10,
 
 def v5(df: DataFrame) -> DataFrame:
     rows = df.where("io_chain is null or io_chain = 'legacy'")
-    return _count("V5", rows, NONE(None), F.coalesce("io_chain", F.lit("missing")))
+    return _count("V5", rows, F.lit(None), F.coalesce("io_chain", F.lit("missing")))
 
 
 def v6(df: DataFrame, key: str = "image_guidance_scale") -> DataFrame:
     """instruct_edit rows: op_params is a JSON object with the key."""
     ok = F.coalesce(F.col("op_params").rlike("^\\s*\\{"), F.lit(False)) & F.try_parse_json("op_params").isNotNull()
     rows = df.where("operator = 'instruct_edit'").withColumn("why", F.when(~ok, "not an object").when(~json_has(F.col("op_params"), key), "key missing"))
-    return _count("V6", rows.where("why is not null"), NONE(None), F.col("why"))
+    return _count("V6", rows.where("why is not null"), F.lit(None), F.col("why"))
 
 
 def v7(df: DataFrame) -> DataFrame:
@@ -89,7 +87,7 @@ def v7(df: DataFrame) -> DataFrame:
         F.when(two & ~mixed & ~pair & F.col("generator_name"), "generator_name"), F.when(two & ~mixed & ~pair & ~F.col("compositing"), "compositing"),
     ))
     rows = rows.select("pair_id", "n", F.explode(wrong).alias("why"))
-    return _found("V7", rows, NONE(None), F.concat_ws(":", "pair_id", "why"), F.col("n"))
+    return _found("V7", rows, F.lit(None), F.concat_ws(":", "pair_id", "why"), F.col("n"))
 
 
 def v8(df: DataFrame) -> DataFrame:
@@ -100,7 +98,7 @@ def v8(df: DataFrame) -> DataFrame:
     mothers = df.groupBy(F.col("image_id").alias("mother")).agg(F.max_by(F.struct("split"), F.col("image_path")).alias("m"))
     rows = df.where(~blank("postprocess_of")).join(mothers, F.col("postprocess_of") == F.col("mother"))
     bad = ~F.col("split").eqNullSafe(F.col("m.split")) & ~(F.coalesce(F.col("m.split") == "test_a", F.lit(False)) & F.coalesce(F.col("split") == "test_e", F.lit(False)))
-    return _found("V8", groups, NONE(None), F.concat(F.lit("base:"), "base_id"), F.col("n")).unionByName(_count("V8", rows.where(bad), F.col("split"), F.concat(F.lit("mother:"), F.col("m.split"))))
+    return _found("V8", groups, F.lit(None), F.concat(F.lit("base:"), "base_id"), F.col("n")).unionByName(_count("V8", rows.where(bad), F.col("split"), F.concat(F.lit("mother:"), F.col("m.split"))))
 
 
 def v9(df: DataFrame, holdout: Sequence[str]) -> DataFrame:
@@ -119,7 +117,7 @@ def diffusion_edit() -> Column:
 
 def v11(df: DataFrame, floor: int = 0) -> DataFrame:
     rows = df.where(diffusion_edit()).withColumn("cell", nuisance_cell(F.col("op_params")))
-    found = _count("V11", rows.where("cell is null"), NONE(None), F.lit("not recorded"))
+    found = _count("V11", rows.where("cell is null"), F.lit(None), F.lit("not recorded"))
     if floor:
         cells = rows.where("cell is not null").groupBy("split", "cell").agg(F.count("*").alias("n")).where(F.col("n") < floor)
         found = found.unionByName(_found("V11", cells, F.col("split"), F.col("cell"), F.col("n")))
@@ -128,19 +126,20 @@ def v11(df: DataFrame, floor: int = 0) -> DataFrame:
 
 def v12(df: DataFrame, floor: int = 0, edges: Sequence[float] = AREA_EDGES) -> DataFrame:
     rows = df.where(F.col("operator").isin(list(MASKED)))
-    found = _count("V12", rows.where("mask_area_ratio is null"), NONE(None), F.lit("no ratio"))
+    found = _count("V12", rows.where("mask_area_ratio is null"), F.lit(None), F.lit("no ratio"))
     if floor:
         hit = rows.where("mask_area_ratio is not null").groupBy(digitize(F.col("mask_area_ratio"), edges).alias("b")).agg(F.count("*").alias("c"))
         every = df.sparkSession.range(len(edges)).join(hit, F.col("id") == F.col("b"), "left").select(F.col("id"), F.coalesce("c", F.lit(0)).alias("n")).where(F.col("n") < floor)
-        found = found.unionByName(_found("V12", every, NONE(None), F.concat(F.lit("bucket "), F.col("id").cast("string")), F.col("n")))
+        found = found.unionByName(_found("V12", every, F.lit(None), F.concat(F.lit("bucket "), F.col("id").cast("string")), F.col("n")))
     return found
 
 
 def check_all(df: DataFrame, profile: str = "auto", holdout: Sequence[str] = (), testc_operator: str | None = None, cell_floor: int = 0, bucket_floor: int = 0) -> DataFrame:
     run = profile == "run"
+    # What the rules look at is made once, and every rule reads it.
+    needed = ("image_id", "image_path", "real_image_path", "mask_path", "is_fake", "split", "io_chain", "postprocess", "sample_kind", "operator", "compositing", "feather_px", "op_params", "base_id", "postprocess_of", "generator_name", "generator_family", "mask_area_ratio", "probe_group", "pair_id", "seed")
+    df = written(df.select(*[c for c in needed if c in df.columns]))
     parts = [v1(df), v2(df), v3(df), v4(df, profile=profile), *([v5(df)] if run else []), v6(df), v7(df), *([v8(df)] if run else []), *([v9(df, holdout)] if holdout else [])]
     parts += ([v10(df, testc_operator)] if run and testc_operator else []) + ([v11(df, cell_floor), v12(df, bucket_floor)] if run else [])
     return reduce(DataFrame.unionByName, parts)
 
-
-__all__ = ["check_all", "json_number", *[f"v{i}" for i in range(1, 13)]]

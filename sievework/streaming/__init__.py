@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Streams: resumable ingest and windowed counts."""

@@ -3,9 +3,8 @@
 A text is cut where its own content says so (after a sentence mark or line end, at least
 `CHUNK_LEAST` and at most `CHUNK_MOST` characters on), every chunk gets an identifier, and a
 document's recipe is the ordered list of its chunks' identifiers. Equal recipes mean equal texts
-because identifiers are verified: chunks are deduplicated with their identifiers, combined before
-the shuffle, so that a chunk moves once however many documents have it, and an identifier must have
-one chunk; else the next kind is taken, and the last kind is the chunk's text itself. After that
+because identifiers are verified: chunks are deduplicated, combined before the shuffle, so that a
+chunk moves once however many documents have it, and an identifier must have one chunk; else the next kind is taken, and the last kind is the chunk's text itself. After that
 only recipes move, never documents.
 
 Defined results: a null text counts as empty; empty texts are equal to each other; rows without
@@ -27,7 +26,7 @@ CHUNK_LEAST, CHUNK_MOST = 512, 4096
 
 #: Kinds of identifier, from narrow to exact.
 IDENTIFIERS: Sequence[Callable[[Column], Column]] = (
-    lambda chunk: F.sha2(chunk, 256),
+    lambda chunk: F.unhex(F.sha2(chunk, 256)),
     lambda chunk: chunk,
 )
 
@@ -41,8 +40,8 @@ def chunks(text: Column, least: int = CHUNK_LEAST, most: int = CHUNK_MOST) -> Co
 def verified(texts: DataFrame, identifier: Callable[[Column], Column]) -> bool:
     """Whether no two different chunks share an identifier."""
     # A chunk that a third of all documents have is one row per task; identifiers alone are counted.
-    single = texts.select(F.explode(chunks(F.col("text"))).alias("chunk")).select(identifier(F.col("chunk")).alias("id"), "chunk").distinct()
-    return single.groupBy("id").count().where("count > 1").isEmpty()
+    single = texts.select(F.explode(chunks(F.col("text"))).alias("chunk")).distinct()
+    return single.groupBy(identifier(F.col("chunk")).alias("id")).count().where("count > 1").isEmpty()
 
 
 def recipes(docs: DataFrame, identifiers: Sequence[Callable[[Column], Column]] = IDENTIFIERS) -> DataFrame:

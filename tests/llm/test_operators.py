@@ -282,8 +282,9 @@ def test_suffix_tree_is_a_distribution(spark, corpus):
     rows = nodes.toArrow()
     model = suffix_tree.Model(root, *(rows.column(c).to_numpy() for c in ("state", "parent", "symbol", "value")))
     assert len(model.state) > 10
-    for text in (b"ab cde", b"\n\n\n\n\n", b"zzzzz", b"a b a"):
-        context = int.from_bytes(text[-5:][::-1].rjust(5, b"\n") if len(text) >= 5 else text[::-1].rjust(5, b"\n"), "big")
+    for text in (b"ab cde", b"\n\n\n\n\n\n", b"zzzzzzz", b"a b a"):
+        depth = suffix_tree.DEPTH
+        context = int.from_bytes(text[-depth:][::-1].ljust(depth, b"\n"), "big")  # the nearest first
         p = 10 ** model.score(np.array([context << 8 | s for s in range(256)], np.uint64))
         assert abs(p.sum() - 1) < 1e-9
 

@@ -52,6 +52,12 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
 
 
+def through_arrow(df: DataFrame, run) -> DataFrame:
+    """df with its rows passed through run (Arrow batches to Arrow batches of the same columns), whatever their names."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     plain = F.octet_length(text) == F.char_length(text)

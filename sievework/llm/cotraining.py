@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import binary
+from sievework.llm.common import binary, through_arrow
 
 LABELLED_MOST, POOL_MOST, ROUNDS, SURE, KEEP = 20_000, 20_000, 3, 0.97, 0.5
 SOURCES, LANGS, SIZES = 64, 16, 20
@@ -237,4 +237,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFra
                 struct = pa.RecordBatch.from_arrays([part.column(names.index(x)).cast(t) for x, t in (("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64()))], ["doc_id", "text", "lang", "source", "n_chars"])
                 yield part.filter(pa.array(probabilities(struct, model)[2] >= keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return through_arrow(docs, run)

@@ -6,6 +6,7 @@ part) give each part its offset, and what is left is done within parts."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as Parquet in the checkpoint folder, for what is read several times by few of its columns."""
+    written(df.sparkSession.range(0))  # makes sure that there is a folder
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def ranged(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """df sorted by parts of the order, with column sieve_part. Rows that are equal in the order share a part."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.exprs import digitize, is_degraded, json_has, nongen_chain, nuisance_cell, path_suffix
-from sievework.operators.order import written
+from sievework.operators.order import stored
 
 KINDS, COMPOSITING = ("real", "real_vae_rt", "edited"), ("none", "paste", "paste_feather")
 MASKED = ("inpaint", "outpaint", "object_replacement", "background_editing")
@@ -138,7 +138,7 @@ def check_all(df: DataFrame, profile: str = "auto", holdout: Sequence[str] = (),
     run = profile == "run"
     # What the rules look at is made once, and every rule reads it.
     needed = ("image_id", "image_path", "real_image_path", "mask_path", "is_fake", "split", "io_chain", "postprocess", "sample_kind", "operator", "compositing", "feather_px", "op_params", "base_id", "postprocess_of", "generator_name", "generator_family", "mask_area_ratio", "probe_group", "pair_id", "seed")
-    df = written(df.select(*[c for c in needed if c in df.columns]))
+    df = stored(df.select(*[c for c in needed if c in df.columns]))
     parts = [v1(df), v2(df), v3(df), v4(df, profile=profile), *([v5(df)] if run else []), v6(df), v7(df), *([v8(df)] if run else []), *([v9(df, holdout)] if holdout else [])]
     parts += ([v10(df, testc_operator)] if run and testc_operator else []) + ([v11(df, cell_floor), v12(df, bucket_floor)] if run else [])
     return reduce(DataFrame.unionByName, parts)

@@ -13,20 +13,21 @@ from sievework.functions.exprs import BENCHMARK_SOURCES, hash01, is_degraded, or
 def assign_splits(df: DataFrame, generators: Sequence[str] = (), level3: Sequence[str] = (), sources: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """df with column split set. Rows of one origin stay together; degraded fakes of test_a become test_e.
 
-    One shuffle by origin: flags are window aggregates, so the table is read once."""
+    Four flags of each origin are combined before the shuffle; rows then meet their origin's base split in a join, which
+    Spark broadcasts or splits by size, so that an origin with very many rows does not land in one task."""
     held = lambda column, values: F.max(F.coalesce(F.col(column).isin(list(values)), F.lit(False)) if values else F.lit(False))
-    group = Window.partitionBy("sieve_origin")
-    df = df.withColumn("sieve_origin", origin_key(F.col("real_image_path"), F.col("image_path")))
-    flags = {"g": held("generator_name", generators), "l": held("manipulation_level3", level3), "s": held("source_dataset", sources), "f": F.max(F.col("is_fake"))}
-    df = df.withColumns({f"sieve_{k}": v.over(group) for k, v in flags.items()})
-    real, fake = (hash01(F.col("sieve_origin"), f"{kind}-{seed}") for kind in ("real", "fake"))
+    origin = origin_key(F.col("real_image_path"), F.col("image_path"))
+    groups = df.groupBy(origin.alias("sieve_of")).agg(held("generator_name", generators).alias("g"), held("manipulation_level3", level3).alias("l"), held("source_dataset", sources).alias("s"), F.max("is_fake").alias("f"))
+    real, fake = (hash01(F.col("sieve_of"), f"{kind}-{seed}") for kind in ("real", "fake"))
     base = (
-        F.when(F.col("sieve_g"), "test_b").when(F.col("sieve_l"), "test_c").when(F.col("sieve_s"), "test_d")
-        .when(F.col("sieve_f") == 0, F.when(real < 0.60, "train").when(real < 0.75, "val").otherwise("test_f"))
+        F.when(F.col("g"), "test_b").when(F.col("l"), "test_c").when(F.col("s"), "test_d")
+        .when(F.col("f") == 0, F.when(real < 0.60, "train").when(real < 0.75, "val").otherwise("test_f"))
         .otherwise(F.when(fake < 0.70, "train").when(fake < 0.80, "val").otherwise("test_a"))
     )
-    moved = (base == "test_a") & (F.col("is_fake") == 1) & is_degraded(F.col("postprocess"))
-    return df.withColumn("split", F.when(moved, "test_e").otherwise(base)).drop("sieve_origin", *[f"sieve_{k}" for k in flags])
+    groups = groups.select("sieve_of", base.alias("sieve_base"))
+    rows = df.withColumn("sieve_origin", origin).join(groups, F.col("sieve_origin").eqNullSafe(F.col("sieve_of")))
+    moved = (F.col("sieve_base") == "test_a") & (F.col("is_fake") == 1) & is_degraded(F.col("postprocess"))
+    return rows.withColumn("split", F.when(moved, "test_e").otherwise(F.col("sieve_base"))).drop("sieve_origin", "sieve_of", "sieve_base")
 
 
 def _both_sides(df: DataFrame, key: Column, other: Column) -> DataFrame:

@@ -72,14 +72,14 @@ def words_of(text: Column, gap: str = GAP) -> Column:
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash. Emptied when it has `most` words, so that memory stays bounded."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 300_000, seed: int = 0):
         super().__init__()
-        self.most = most
+        self.most, self.seed = most, seed
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = xxhash.xxh3_64_intdigest(word, seed=self.seed)
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

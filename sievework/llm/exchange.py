@@ -9,7 +9,10 @@ reduce side therefore gets at most one entry of a hash from each map-side batch.
 Two questions can be asked of an entry (hash, owner, payload):
 `shared`: does another owner have the hash?  `later`: does a smaller owner have it?
 `shared` is asked to thin candidates out and compares 32 bits within a bucket (buckets grow with the
-input); `later` decides, and compares all 64.
+input); `later` decides, and compares all 64 and, where given, 64 more of a second hash (`check`).
+
+Buckets are sized by bytes of text, and each has a partition of its own: a task of the reduce side
+holds the entries of one bucket, whatever the number and the length of the documents.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sievework.llm.common import blob, mixed, runs
 
@@ -29,6 +34,16 @@ LOW = np.uint64(0xFFFFFFFF)
 MARK = -(1 << 63)
 
 
+def buckets_of(texts: DataFrame, each: int) -> int:
+    """Buckets for about `each` bytes of text; 12 at least, so that small inputs use several tasks too."""
+    return max(12, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // each))
+
+
+def settled(sent: DataFrame, buckets: int, question: str) -> DataFrame:
+    """The exchange itself: every bucket is a partition."""
+    return sent.repartitionById(buckets, "bucket").mapInArrow(lambda batches: settle(batches, buckets, question), SCHEMA)
+
+
 def table(**columns) -> pa.RecordBatch:
     """A batch of the given columns; those not given are null."""
     n = len(next(iter(columns.values())))
@@ -58,16 +73,30 @@ def answered(owner: np.ndarray, tag: np.ndarray | None, payload: np.ndarray | No
         yield table(**columns)
 
 
-def pack(h: np.ndarray, owner: np.ndarray, buckets: int, question: str, tag: np.ndarray | None = None, payload: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def equal(g: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal hashes, in both halves where there are two."""
+    if check is None or not len(g):
+        return runs(g)
+    starts = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (check[1:] != check[:-1]))))
+    return starts, np.diff(np.append(starts, len(g)))
+
+
+def sorting(g: np.ndarray, check: np.ndarray | None, owner: np.ndarray) -> np.ndarray:
+    return np.lexsort((owner, g) if check is None else (owner, check, g))
+
+
+def pack(h: np.ndarray, owner: np.ndarray, buckets: int, question: str, tag: np.ndarray | None = None, payload: np.ndarray | None = None, check: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Rows for the exchange from a batch's entries.
 
     payload (32-bit) is what the answer to an entry holds, and tag tells rows of one owner apart;
-    without them answers are counts."""
+    without them answers are counts. check is a second hash; `later` always sends one (zeros if none is given)."""
     g = mixed(h)
-    order = np.lexsort((owner, g))
+    if question == "later" and check is None:
+        check = np.zeros(len(g), np.uint64)
+    order = sorting(g, check, owner)
     g, owner = g[order], owner[order]
-    tag, payload = (None if x is None else x[order] for x in (tag, payload))
-    starts, lengths = runs(g)
+    tag, payload, check = (None if x is None else x[order] for x in (tag, payload, check))
+    starts, lengths = equal(g, check)
     if question == "shared":
         several = owner[starts] != owner[starts + lengths - 1]
         done = np.repeat(several, lengths)
@@ -80,10 +109,10 @@ def pack(h: np.ndarray, owner: np.ndarray, buckets: int, question: str, tag: np.
         owner[starts[several]] = MARK
         sent[starts[several]] = True
     g, owner = g[sent], owner[sent]
-    tag, payload = (None if x is None else x[sent] for x in (tag, payload))
+    tag, payload, check = (None if x is None else x[sent] for x in (tag, payload, check))
     bucket = ((g >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64)).tolist()
-    low = (g & LOW).astype(np.uint32) if question == "shared" else g
+    low = (g & LOW).astype(np.uint32) if question == "shared" else np.stack((g, check), axis=1)
     parts = [(b, slice(cuts[b], cuts[b + 1])) for b in range(buckets) if cuts[b] < cuts[b + 1]]
     for c in range(0, len(parts), 64):
         some = parts[c : c + 64]
@@ -104,10 +133,12 @@ def settle(batches: Iterator[pa.RecordBatch], spread: int, question: str) -> Ite
     for b in sorted(waiting):
         parts = waiting.pop(b)
         h, owner, tag, payload = (np.frombuffer(b"".join(p[i] for p in parts), t) for i, t in enumerate((np.uint32 if question == "shared" else np.uint64, np.int64, np.int64, np.int32)))
-        order = np.lexsort((owner, h))
-        h, owner = h[order], owner[order]
+        del parts
+        h, check = (h, None) if question == "shared" else h.reshape(-1, 2).T
+        order = sorting(h, check, owner)
+        h, check, owner = h[order], None if check is None else check[order], owner[order]
         tag, payload = (x[order] if len(x) else None for x in (tag, payload))
-        starts, lengths = runs(h)
+        starts, lengths = equal(h, check)
         if question == "shared":
             hit = np.repeat(owner[starts] != owner[starts + lengths - 1], lengths) & (owner != MARK)
         else:

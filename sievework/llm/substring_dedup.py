@@ -9,8 +9,9 @@ left; at the last level to every full-length window around them. What does not r
 and when no candidate survives so does the search.
 
 At the last level a window is removed in all documents but those with the smallest doc_id that
-have it; windows are judged on the input. Hashes are 64-bit ones of the words' hashes, compared
-within a bucket by 32 bits and the bucket's place at short levels and in full at the last.
+have it; windows are judged on the input. Windows are compared by hashes of their words' hashes:
+within a bucket by 32 bits and the bucket's place at short levels, which only thin candidates out,
+and by 128 bits (two hashes that share nothing but the words) at the last, which decides.
 
 Defined results: words are separated by ASCII white space; a null or empty text has no words and
 nothing removed; a row without doc_id neither removes nor loses words; repeated rows and rows of one
@@ -33,6 +34,7 @@ from sievework.llm.common import WordHashes, binary, checkpointed, pieces, rolli
 
 WINDOW = 50
 ENTRIES = 1_500_000
+BUCKET_BYTES = 40_000_000  # text for each bucket of the exchange
 
 
 def levels(window: int) -> list[int]:
@@ -74,8 +76,8 @@ class Sender:
     def __init__(self, buckets: int, question: str):
         self.buckets, self.question, self.held, self.size = buckets, question, [], 0
 
-    def add(self, h: np.ndarray, owner: np.ndarray, tag: np.ndarray, place: np.ndarray) -> None:
-        self.held.append((h, owner, tag, place.astype(np.int32)))
+    def add(self, h: np.ndarray, owner: np.ndarray, tag: np.ndarray, place: np.ndarray, *check: np.ndarray) -> None:
+        self.held.append((h, owner, tag, place.astype(np.int32), *check))
         self.size += len(h)
 
     def full(self) -> bool:
@@ -83,9 +85,9 @@ class Sender:
 
     def send(self) -> Iterator[pa.RecordBatch]:
         if self.size:
-            h, owner, tag, place = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            h, owner, *more = (np.concatenate(x) for x in zip(*self.held, strict=True))
             self.held, self.size = [], 0
-            yield from exchange.pack(h, owner, self.buckets, self.question, tag, place)
+            yield from exchange.pack(h, owner, self.buckets, self.question, *more)
 
 
 def first_level(window: int, width: int, buckets: int):
@@ -127,10 +129,11 @@ def next_level(window: int, before: int, width: int, buckets: int):
     last = width == window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, out = WordHashes(), Sender(buckets, "later" if last else "shared")
+        cache, second, out = WordHashes(), WordHashes(seed=1), Sender(buckets, "later" if last else "shared")
         for batch in batches:
             for owner, tag, text, blobs in zip(*(batch.column(c).to_pylist() if c != "text" else binary(batch.column(c)) for c in ("doc_id", "tag", "text", "found")), strict=True):
-                h = rolling(cache.of(text.split()), width)
+                words = text.split()
+                h = rolling(cache.of(words), width)
                 at = places(blobs)
                 if last:
                     reach = np.zeros(len(h) + width + 2, np.int32)
@@ -141,7 +144,8 @@ def next_level(window: int, before: int, width: int, buckets: int):
                     start = np.unique(np.concatenate((at, at - (width - before))))
                     start = start[(start >= 0) & (start < len(h))]
                 if len(start):
-                    out.add(h[start], np.full(len(start), owner, np.int64), np.full(len(start), tag, np.int64), start)
+                    check = [rolling(second.of(words), width)[start]] if last else []
+                    out.add(h[start], np.full(len(start), owner, np.int64), np.full(len(start), tag, np.int64), start, *check)
                 if out.full():
                     yield from out.send()
         yield from out.send()
@@ -179,13 +183,9 @@ def search(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]
     kept_text of every distinct row that loses words)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tag_of(F.col("text")).alias("tag"))
-    buckets = max(12, -(-docs.count() // 20_000))  # answers come once for each document and bucket
+    buckets = exchange.buckets_of(texts, BUCKET_BYTES)  # answers come once for each document and bucket
     lengths = levels(window)
-
-    def settled(sent: DataFrame, question: str) -> DataFrame:
-        return sent.repartition(buckets, "bucket").mapInArrow(lambda it: exchange.settle(it, buckets, question), exchange.SCHEMA)
-
-    found = settled(texts.mapInArrow(first_level(window, lengths[0], buckets), exchange.SCHEMA), "shared")
+    found = exchange.settled(texts.mapInArrow(first_level(window, lengths[0], buckets), exchange.SCHEMA), buckets, "shared")
     found = checkpointed(found.select("kind", "owner", "tag", "n", "note", "payloads"))
     rows = found.where("kind = 2").groupBy(F.col("owner").alias("doc_id"), "tag").agg(F.max("n").alias("n_words"), F.max("note").alias("whole"), F.count("*").alias("copies"))
 
@@ -198,7 +198,7 @@ def search(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]
     source = held
     for i, (before, width) in enumerate(zip(lengths, lengths[1:], strict=False)):
         question = "later" if width == window else "shared"
-        found = checkpointed(settled(source.mapInArrow(next_level(window, before, width, buckets), exchange.SCHEMA), question).select("kind", "owner", "tag", "payloads"))
+        found = checkpointed(exchange.settled(source.mapInArrow(next_level(window, before, width, buckets), exchange.SCHEMA), buckets, question).select("kind", "owner", "tag", "payloads"))
         source = held.drop("found").join(candidates(found), ["doc_id", "tag"])
     lost = source.mapInArrow(cut(window), CUT)
     return rows, lost

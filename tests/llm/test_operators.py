@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.llm import chat_tools, cotraining, decontaminate, exact_dedup, jaccard_join, license_scan, mixing, substring_dedup, suffix_tree, url_filter
+from sievework.llm import chat_tools, cotraining, decontaminate, exact_dedup, exchange, jaccard_join, license_scan, mixing, substring_dedup, suffix_tree, url_filter
 from sievework.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, row int"
@@ -177,6 +177,24 @@ def test_substring_dedup(spark, corpus, window):
     assert substring_dedup.report(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("together", [True, False])
+def test_windows_with_one_hash_alike_are_told_apart(together):
+    """Owners 1 and 2 share the first hash alone, owners 3 and 4 both; in one map task or in one each."""
+    h, check, owner = np.array([7, 7, 9, 9], np.uint64), np.array([1, 2, 5, 5], np.uint64), np.array([1, 2, 3, 4])
+    tag, place = owner * 10, np.array([0, 1, 2, 3], np.int32)
+    parts = [slice(0, 4)] if together else [slice(i, i + 1) for i in range(4)]
+    sent = [b for s in parts for b in exchange.pack(h[s], owner[s], 5, "later", tag[s], place[s], check[s])]
+    answers = [r for b in exchange.settle(iter(sent), 5, "later") for r in b.to_pylist() if r["kind"] == 1]
+    assert [(r["owner"], r["tag"], r["payloads"]) for r in answers] == [(4, 40, place[3:].tobytes())]
+
+
+def test_buckets_grow_with_bytes(spark):
+    few = spark.createDataFrame([("x" * 1000,), (None,)], "text string")
+    assert exchange.buckets_of(few, 10_000) == 12 and exchange.buckets_of(few, 10) == 100 and exchange.buckets_of(few.limit(0), 10) == 12
+    spread = exchange.settled(spark.createDataFrame([(2, b, b) for b in range(30)], "kind int, bucket int, owner long").selectExpr("kind", "bucket", "owner", "cast(null as long) tag", "cast(null as long) n", "cast(null as string) note", *[f"cast(null as binary) {c}" for c in ("hashes", "owners", "tags", "payloads")]), 30, "shared")
+    assert sorted(spread.groupBy(F.spark_partition_id()).count().toPandas()["count"]) == [1] * 30
+
+
 def test_removed_text(spark, corpus):
     out = substring_dedup.removed_text(docs(spark, corpus))
     sha = {(r.doc_id, r.kept_sha256) for r in substring_dedup.report(docs(spark, corpus)).collect()}

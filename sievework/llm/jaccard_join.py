@@ -45,6 +45,7 @@ WIDTH, PERCENT, RARE, BLOCK = 5, 80, 64, 1024
 BLOCK_BYTES = 64_000_000  # of tokens, of a block on average
 DELEGATES = 16  # sets of a component found in a block that stand for it in the second comparison
 ENTRIES = 1_500_000  # entries that a map task holds before it sends them
+BUCKET_BYTES = 20_000_000  # text for each bucket of the exchange
 
 
 def token_sets(texts: list[bytes | None], cache: WordHashes, width: int = WIDTH) -> list[np.ndarray]:
@@ -256,10 +257,9 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, rare: int
     """(one row per document: doc_id, k1, k2, n; true spanning links a, b between set names)."""
     if not 67 <= percent <= 100:
         raise ValueError("percent must be from 67 to 100: below, two sets may share frequent tokens and no two in a row")
-    buckets = max(12, -(-docs.count() // 10_000))  # about two million entries each
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = texts.mapInArrow(sent_sets(percent, width, buckets), exchange.SCHEMA).repartition(buckets, "bucket")
-    answers = sent.mapInArrow(lambda it: exchange.settle(it, buckets, "shared"), exchange.SCHEMA)
+    buckets = exchange.buckets_of(texts, BUCKET_BYTES)  # about two million entries each
+    answers = exchange.settled(texts.mapInArrow(sent_sets(percent, width, buckets), exchange.SCHEMA), buckets, "shared")
     # Rows of documents stay as they are (one for each copy); counts of shared tokens are added up.
     rows = checkpointed(answers.groupBy("kind", F.col("owner").alias("k1"), F.col("tag").alias("k2"), "note").agg(F.sum("n").alias("total"), F.max("n").alias("n"), F.count("*").alias("copies")))
     members = rows.where("kind = 2").select(F.col("note").cast("long").alias("doc_id"), "k1", "k2", "n", "copies")

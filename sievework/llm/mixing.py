@@ -40,9 +40,15 @@ Targets = Mapping[str, Mapping[str, float] | None]
 def topic_of(text: Column) -> Column:
     """Register of a text from its marks: tabular, symbolic, shouted, brief or prose."""
     text = F.coalesce(text, F.lit(""))
-    size = F.greatest(F.char_length(text), F.lit(1))
-    share = lambda chars: (F.char_length(text) - F.char_length(F.translate(text, chars, ""))) / size
-    return F.when(F.char_length(text) < 200, "brief").when(share("|") > 0.02, "tabular").when(share("*#%&$") > 0.05, "symbolic").when(share("!") > 0.02, "shouted").otherwise("prose")
+    size = F.char_length(text)
+
+    def share(marks: str) -> Column:
+        rest = text
+        for mark in marks:  # a search for one mark skims the bytes; translate would look every character up
+            rest = F.replace(rest, F.lit(mark), F.lit(""))
+        return (size - F.char_length(rest)) / F.greatest(size, F.lit(1))
+
+    return F.when(size < 200, "brief").when(share("|") > 0.02, "tabular").when(share("*#%&$") > 0.05, "symbolic").when(share("!") > 0.02, "shouted").otherwise("prose")
 
 
 def n_tokens(text: Column) -> Column:

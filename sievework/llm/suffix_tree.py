@@ -41,7 +41,7 @@ from sievework.llm.common import WordHashes, binary, checkpointed, runs
 DEPTH, LEAST = 5, 16
 MODEL_ENTRIES = 4_000_000
 FREQUENT = 1 << 20
-CHUNK = 2_000_000  # symbols looked at together
+CHUNK = 1_000_000  # symbols looked at together
 END_KEY = xxhash.xxh3_64_intdigest(b"\n")
 U8 = np.uint64(8)
 

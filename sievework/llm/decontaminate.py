@@ -4,8 +4,10 @@ Benchmark items are looked for in blocks of `ITEMS` (each block is one pass over
 what is held in memory stays the same however many items there are). For a block:
 
 1. the document frequency of its words is counted over all documents (TF-IDF);
-2. a distributed randomised SVD of the TF-IDF matrix of its items and of a bounded sample of
-   document passages (`SAMPLE` documents with the smallest hash of doc_id) gives the latent space;
+2. a distributed randomised SVD of the TF-IDF matrix of its items and of the passages (32 words) of
+   all documents gives the latent space. One more pass over the documents counts how often two of
+   its words stand in a passage; the decomposition works on these counts, whose size is the
+   vocabulary's. All passages together weigh as much as those of `WEIGH_AS` documents;
 3. every passage of every document (16, 32 or 64 words, a step of a quarter or less) is projected
    and compared with the items of that length by cosine. The norm is the passage's whole TF-IDF
    norm, where words outside the block's vocabulary count as rarest; a passage whose known words
@@ -36,9 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import binary, checkpointed, through_arrow
+from sievework.llm.common import binary, blob, checkpointed, runs, through_arrow
 
-ITEMS, SAMPLE, RANK, NEAR = 256, 2_000, 256, 0.4
+ITEMS, WEIGH_AS, RANK, NEAR = 256, 2_000, 256, 0.4
 #: Weight of the items' rows in the decomposition, so that the space is first of all theirs.
 ITEM_WEIGHT = 20.0
 COPY, PARAPHRASE, ANSWER, LEAST = 0.8, 0.55, 0.6, 6
@@ -88,8 +90,8 @@ def blocks(benchmark: DataFrame) -> Iterator[Block]:
         yield Block(ids, words, answers, {v: i for i, v in enumerate(sorted({x for p in words for x in p}))})
 
 
-def inverse_frequency(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, float]:
-    """IDF of the vocabulary's words over all documents, the same with 0 for common words, and that of a word in none."""
+def inverse_frequency(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """IDF of the vocabulary's words over all documents, the same with 0 for common words, that of a word in none, and the number of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n, known = np.zeros(len(vocabulary), np.int64), 0, vocabulary.keys()
@@ -108,7 +110,7 @@ def inverse_frequency(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np
         else:
             df[w] = c
     idf = np.log((n + 1) / (df + 1)) + 1
-    return idf, np.where(df > COMMON * n, 0.0, idf), math.log(n + 1) + 1
+    return idf, np.where(df > COMMON * n, 0.0, idf), math.log(n + 1) + 1, n
 
 
 def part_of(block: Block, which: list[int]) -> Block:
@@ -124,7 +126,7 @@ def vector(words: list[bytes], vocabulary: dict[bytes, int], idf: np.ndarray) ->
 
 
 def sampled_passages(docs: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray, size: int) -> DataFrame:
-    """Sparse rows (words, weights) of the passages of a bounded sample of documents."""
+    """Sparse rows (words, weights) of the passages of a few documents, to look at. Nothing that is found or reported uses it."""
     chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,22 +145,124 @@ def sampled_passages(docs: DataFrame, vocabulary: dict[bytes, int], idf: np.ndar
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(run, "at binary, weight binary")
 
 
-def latent_space(passages: DataFrame, items: list[tuple[np.ndarray, np.ndarray]], dims: int, rank: int = RANK, rounds: int = 2, seed: int = 1) -> np.ndarray:
+PAIRS_AT_ONCE, BLOCK_CELLS = 2_000_000, 1_000_000
+COUNTS = "block int, cell binary, n binary"
+
+
+def rows_each(dims: int) -> int:
+    """Rows of a block of the matrix of counts."""
+    return max(1, min(64, BLOCK_CELLS // max(1, dims)))
+
+
+def pair_cells(texts: list[bytes | None], number: dict[bytes, int], dims: int) -> Iterator[np.ndarray]:
+    """Cells (row * dims + column) of each two places of a passage, the same place twice too, where words of number stand.
+
+    A pair of words is in one of its two cells only, decided by their numbers, so that rows are about equally full."""
+    at, passage, base, size = [], [], 0, 0
+
+    def cells() -> np.ndarray:
+        w, p = np.concatenate(at), np.concatenate(passage)
+        out = [w * dims + w]
+        for d in range(1, LENGTHS[1]):
+            near = np.flatnonzero(p[d:] == p[:-d])
+            if not len(near):
+                break
+            low, high = np.minimum(w[near], w[near + d]), np.maximum(w[near], w[near + d])
+            odd = (low + high) & 1 == 1
+            out.append(np.where(odd, high, low) * dims + np.where(odd, low, high))
+            same = low[low == high]
+            out.append(same * dims + same)  # in either order
+        at.clear()
+        passage.clear()
+        return np.concatenate(out)
+
+    for t in texts:
+        words = words_in(t)
+        w = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
+        spots = np.flatnonzero(w >= 0)
+        if len(spots):
+            at.append(w[spots])
+            passage.append(spots // LENGTHS[1] + base)
+            size += len(spots)
+        base += len(words) // LENGTHS[1] + 1
+        if size >= 100_000:
+            yield cells()
+            size = 0
+    if size:
+        yield cells()
+
+
+def pair_counts(docs: DataFrame, vocabulary: dict[bytes, int], weights: np.ndarray) -> DataFrame:
+    """For blocks of rows the counts of pair_cells over all passages of all documents. Words without weight are left out."""
+    dims = len(vocabulary)
+    each = rows_each(dims)
+    number = {w: i for w, i in vocabulary.items() if weights[i] > 0}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            cell, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            block = cell // (each * dims)
+            heads, lengths = runs(block)
+            cell, n = (cell - block * each * dims).astype(np.uint32), n.astype(np.uint32)
+            spans = list(zip(heads.tolist(), (heads + lengths).tolist(), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(block[heads], pa.int32()), pa.array([blob(cell[a:b]) for a, b in spans], pa.binary()), pa.array([blob(n[a:b]) for a, b in spans], pa.binary())], ["block", "cell", "n"])
+
+        for batch in batches:
+            for cells in pair_cells(binary(batch.column("text")), number, dims):
+                held.append(cells)
+                size += len(cells)
+                if size >= PAIRS_AT_ONCE:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(each * dims, np.int64)
+
+        def done() -> pa.RecordBatch:
+            cell = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([blob(cell)], pa.binary()), pa.array([blob(total[cell])], pa.binary())], ["block", "cell", "n"])
+
+        for batch in batches:
+            for block, cell, n in zip(*(batch.column(c).to_pylist() for c in ("block", "cell", "n")), strict=True):
+                if now is not None and block != now:
+                    yield done()
+                    total[:] = 0
+                now = block
+                total[np.frombuffer(cell, np.uint32)] += np.frombuffer(n, np.uint32)
+        if now is not None:
+            yield done()
+
+    return checkpointed(docs.select("text").mapInArrow(count, COUNTS).repartition("block").sortWithinPartitions("block").mapInArrow(add, COUNTS))
+
+
+def latent_space(counts: DataFrame, share: float, weights: np.ndarray, items: list[tuple[np.ndarray, np.ndarray]], rank: int = RANK, rounds: int = 2, seed: int = 1) -> np.ndarray:
     """Right singular vectors (dims x rank) of the passages' and items' matrix: randomised subspace
-    iteration, where each partition multiplies its own rows and only dims x rank sums leave it."""
-    rank = max(1, min(rank, dims))
+    iteration, where each partition multiplies its blocks of the passages' counts (pair_counts) and only dims x rank sums
+    leave it. share: weight of a passage."""
+    dims = len(weights)
+    rank, each = max(1, min(rank, dims)), rows_each(dims)
     rng = np.random.default_rng(seed)
     q = np.linalg.qr(rng.standard_normal((dims, min(dims, rank + 8))))[0]
-    passages = checkpointed(passages)
     for _ in range(rounds + 1):
         basis = q
 
         def run(batches: Iterator[pa.RecordBatch], basis=basis) -> Iterator[pa.RecordBatch]:
-            out = np.zeros_like(basis)
+            out, weighed = np.zeros_like(basis), basis * weights[:, None]
             for batch in batches:
-                for at, weight in zip(batch.column("at").to_pylist(), batch.column("weight").to_pylist(), strict=True):
-                    at, weight = np.frombuffer(at, np.int64), np.frombuffer(weight, np.float64)
-                    out[at] += np.outer(weight, weight @ basis[at])
+                for block, cell, n in zip(*(batch.column(c).to_pylist() for c in ("block", "cell", "n")), strict=True):
+                    part = np.zeros(each * dims)
+                    part[np.frombuffer(cell, np.int64)] = np.frombuffer(n, np.int64)
+                    rows = np.arange(block * each, min(dims, (block + 1) * each))
+                    part = part.reshape(each, dims)[: len(rows)]
+                    out[rows] += part @ weighed
+                    part[np.arange(len(rows)), rows] = 0  # the pair's other cell
+                    out += part.T @ weighed[rows]
+            out *= share * weights[:, None]
             hit = np.flatnonzero(np.abs(out).sum(1))
             yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array([out[i].tobytes() for i in hit.tolist()], pa.binary())], ["row", "sums"])
 
@@ -172,7 +276,7 @@ def latent_space(passages: DataFrame, items: list[tuple[np.ndarray, np.ndarray]]
             yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(np.linalg.qr(y)[0]).tobytes()], pa.binary())], ["q"])
 
         # 8 * dims rows at most meet in one task, and dims x rank numbers leave it.
-        found = passages.coalesce(8).mapInArrow(run, "row long, sums binary").repartition(1).mapInArrow(solve, "q binary").first()
+        found = counts.coalesce(8).mapInArrow(run, "row long, sums binary").repartition(1).mapInArrow(solve, "q binary").first()
         q = np.frombuffer(bytes(found["q"]), np.float64).reshape(basis.shape)
     return q[:, :rank]
 
@@ -326,14 +430,15 @@ def finders(docs: DataFrame, benchmark: DataFrame, near: float = NEAR) -> Iterat
     """What each pass looks for. Words that very many documents have weigh nothing, unless an item has little
     else: such items are looked for with all weights, beside the others and in the same pass."""
     for block in blocks(benchmark):
-        idf, telling, rarest = inverse_frequency(docs, block.vocabulary)
+        idf, telling, rarest, n = inverse_frequency(docs, block.vocabulary)
         poor = [sum(telling[block.vocabulary[w]] > 0 for w in set(p)) < 3 for p in block.words]
+        counts = pair_counts(docs, block.vocabulary, idf if any(poor) else telling)
         held = []
         for few, weights in ((False, telling), (True, idf)):
             own = [i for i, p in enumerate(poor) if p == few]
             if own:
                 items = [vector(block.words[i], block.vocabulary, weights) for i in own]
-                space = latent_space(sampled_passages(docs, block.vocabulary, weights, SAMPLE), items, len(block.vocabulary))
+                space = latent_space(counts, min(1.0, WEIGH_AS / max(1, n)), weights, items)
                 held.append(Finder(part_of(block, own), weights, rarest, space, near))
         yield held
 

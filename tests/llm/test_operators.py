@@ -437,6 +437,34 @@ def test_decontaminate_finds_copies_at_any_size(n):
                 assert [r[0] for r in finder.search(text)] == [i]
 
 
+def test_decontaminate_space_of_all_documents(spark, monkeypatch):
+    """The latent space is that of every passage of every document, not of a sample."""
+    rng = random.Random(8)
+    words = [f"w{i:02d}".encode() for i in range(40)]
+    vocabulary = {w: i for i, w in enumerate(words[:30])}
+    texts = [b" ".join(rng.choices(words, range(40, 0, -1), k=rng.choice((0, 1, 31, 32, 33, 150)))) for _ in range(90)] + [None]
+    df = spark.createDataFrame([(i % 80, t and t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    weights = np.array([0.0 if i % 7 == 3 else 1 + i / 10 for i in range(30)])
+    items = [decontaminate.vector(words[3:20], vocabulary, weights), decontaminate.vector(words[12:29] + words[12:15], vocabulary, weights)]
+    gram = sum(decontaminate.ITEM_WEIGHT**2 * np.outer(v, v) for v in (np.bincount(at, v, 30) for at, v in items))
+    for t in texts:
+        found = decontaminate.words_in(t)
+        for a in range(0, len(found), 32):
+            v = np.zeros(30)
+            for w in found[a : a + 32]:
+                v[vocabulary.get(w, 0)] += weights[vocabulary[w]] if w in vocabulary else 0
+            gram += 0.25 * np.outer(v, v)
+    monkeypatch.setattr(decontaminate, "BLOCK_CELLS", 30 * 4)
+    counts = decontaminate.pair_counts(df, vocabulary, weights)
+    assert counts.count() > 5
+    space = decontaminate.latent_space(counts, 0.25, weights, items, rank=2, rounds=30)
+    want = np.linalg.eigh(gram)[1][:, -2:]
+    assert np.allclose(space @ space.T, want @ want.T, atol=1e-6)
+
+    monkeypatch.setattr(decontaminate, "sampled_passages", None)
+    assert len(list(decontaminate.finders(df, spark.createDataFrame([(1, "w01 w02 w39 w38 w37 w36 w35")], "item_id long, text string")))) == 1
+
+
 def test_decontaminate_sample_of_repeated_documents(spark):
     """Rows that share a doc_id count once among the sampled documents."""
     vocabulary = {b"w%d" % i: i for i in range(20)}

@@ -71,8 +71,13 @@ def read_jsonl(spark: SparkSession, *paths: str, audit: bool = False) -> DataFra
     return spark.read.schema(SCHEMA).option("mode", "FAILFAST").json(list(paths))
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+#: Lines of a file at most, as a compressed file is read by one task.
+FILE_LINES = 1_000_000
+
+
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", compression: str = "gzip") -> None:
+    """All fields of every record, nulls too. Names and nulls are most of a line, so lines are compressed ("none": plain)."""
+    df.write.mode(mode).option("ignoreNullFields", False).option("compression", compression).option("maxRecordsPerFile", FILE_LINES).json(path)
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:

@@ -1,7 +1,10 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from sievework.operators import rules, split, stats
+from sievework.plans import more
 from sievework.sources import manifest as M
 
 POST = {"jpeg_quality": "none", "resize": "none", "blur": "none", "noise": "none"}
@@ -39,6 +42,28 @@ def test_jsonl_round_trip(spark, tmp_path):
     assert [r._corrupt is None for r in M.read_jsonl(spark, str(bad), audit=True).collect()] == [True, False]
 
 
+def test_jsonl_is_small(spark, tmp_path):
+    """What a manifest occupies is its values, not the names and nulls of each line."""
+    one = frame(spark, {"prompt": "p", "explanation": None})
+    df = one.drop("image_id", "seed").crossJoin(spark.range(5000).selectExpr("concat('i', id) as image_id", "id as seed")).select(*M.FIELDS)
+    path = tmp_path / "m"
+    M.write_jsonl(df, str(path))
+    M.append_jsonl(df, str(path))
+    lines = spark.read.text(str(path))
+    assert lines.count() == 10_000 and all(set(json.loads(r.value)) == set(M.FIELDS) for r in lines.limit(50).collect())
+    plain = lines.selectExpr("sum(octet_length(value) + 1)").first()[0]
+    assert sum(f.stat().st_size for f in path.iterdir()) < plain / 10
+    back = M.merge(spark, [str(path), str(tmp_path / "none")])
+    assert back.exceptAll(df.unionByName(df)).isEmpty() and back.count() == 10_000
+
+
+def test_round_trip_leaves_no_files(spark):
+    more.manifest_round_trip(spark, "/root/testdata/sf0.001").collect()
+    shared = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jsc.sc().getCheckpointDir().get())
+    left = shared.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(shared)
+    assert not [f for f in left if f.getPath().getName().startswith("round-trip-")]
+
+
 def test_split(spark):
     rows = [{"image_id": f"{kind}{i}", "real_image_path": f"base/{kind}{i // 2}.png", "is_fake": fake, "postprocess": {**POST, "jpeg_quality": "70"} if i % 2 and fake else POST} for kind, fake in (("r", 0), ("f", 1)) for i in range(80)]
     rows += [{"image_id": "g", "is_fake": 1, "generator_name": "ideogram", "image_path": "g.png"}, {"image_id": "l", "is_fake": 1, "manipulation_level3": "text_editing", "image_path": "l.png"}, {"image_id": "s", "source_dataset": "Places", "image_path": "s.png"}]

@@ -23,9 +23,11 @@ repeated rows are decided alike; an empty table gives an empty result; other col
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from sievework.llm.common import checkpointed, whole_row
@@ -89,40 +91,59 @@ def residual(cells: DataFrame) -> float:
     return rows[0] or 0.0
 
 
-def scaled(now: DataFrame, m: str, few: bool) -> DataFrame:
+def scaled(now: DataFrame, m: str) -> DataFrame:
     """One margin's step."""
-    if few:
-        have = F.sum("r").over(Window.partitionBy(m))
-        return now.withColumn("r", F.coalesce(F.col("r") * F.col(f"share_{m}") / F.nullif(have, F.lit(0.0)), F.lit(0.0)))
     have = now.groupBy(F.col(m).alias("value")).agg(F.sum("r").alias("have"))
     joined = now.join(have, F.col(m).eqNullSafe(F.col("value")))
     return joined.withColumn("r", F.coalesce(F.col("r") * F.col(f"share_{m}") / F.nullif("have", F.lit(0.0)), F.lit(0.0))).drop("value", "have")
 
 
+def raked(rows: Sequence[Row], cycles: int, tolerance: float, at_once: int) -> np.ndarray:
+    """The raked weights of a small table of cells: MARGINS, share_<margin>, r. The same steps as over a DataFrame."""
+    r, off, done = np.array([x["r"] for x in rows], np.float64), math.inf, 0
+    margins = []
+    for m in MARGINS:
+        number: dict = {}
+        at = np.array([number.setdefault(x[m], len(number)) for x in rows], np.int64)
+        aim = np.full(len(number), np.nan)
+        aim[at] = [math.nan if x[f"share_{m}"] is None else x[f"share_{m}"] for x in rows]
+        margins.append((at, aim))
+    while len(r) and done < cycles:
+        for _ in range(min(at_once, cycles - done)):
+            for at, aim in margins:
+                have = np.bincount(at, r, len(aim))
+                r = r * np.nan_to_num(aim)[at] / np.where(have > 0, have, 1.0)[at]
+        done, was = done + at_once, off
+        off = max((float(np.nanmax(np.abs(np.bincount(at, r, len(aim)) - aim))) for at, aim in margins if not np.isnan(aim).all()), default=0.0)
+        if off <= tolerance or off > 0.99 * was:
+            break
+    return r
+
+
 def rake(cells: DataFrame, targets: Targets, cycles: int = CYCLES, few: int = CELLS_FEW, tolerance: float = TOLERANCE, at_once: int = 5) -> DataFrame:
     """cells (source, lang, topic, w) with raked weight r; weights add up to 1 where any cell has tokens.
 
-    Up to `few` cells are raked in one task by windows; more of them by an aggregation and a join for
-    each step, written out after it. Both do the same arithmetic. The fit is looked at after every
-    `at_once` cycles; raking ends when all margins are within `tolerance`, when that no longer
-    improves by a hundredth, or after `cycles`."""
+    Up to `few` cells (they are counted) are raked in the driver's memory, as every step over a DataFrame is a job
+    whose plan the driver holds; more of them by an aggregation and a join for each step, written out after it. Both
+    do the same arithmetic. The fit is looked at after every `at_once` cycles; raking ends when all margins are within
+    `tolerance`, when that no longer improves by a hundredth, or after `cycles`."""
     now = cells
     for m in MARGINS:
         aims = margin_targets(cells, m, targets.get(m)).select(F.col("value").alias(f"value_{m}"), F.col("share").alias(f"share_{m}"))
         now = now.join(aims, F.col(m).eqNullSafe(F.col(f"value_{m}")), "left").drop(f"value_{m}")
     total = cells.agg(F.sum("w")).scalar()
     now = checkpointed(now.withColumn("r", F.coalesce(F.col("w") / F.nullif(total, F.lit(0.0)), F.lit(0.0))))
-    small = now.count() <= few
-    if small:
-        now = now.coalesce(1)
+    if now.count() <= few:
+        rows = now.collect()  # at most `few`
+        columns = [pa.array([x[m] for x in rows], pa.string()) for m in MARGINS]
+        columns += [pa.array([x["w"] for x in rows], pa.float64()), pa.array(raked(rows, cycles, tolerance, at_once))]
+        return cells.sparkSession.createDataFrame(pa.table(columns, [*MARGINS, "w", "r"]))
     done, off = 0, math.inf
     while done < cycles:
         for _ in range(min(at_once, cycles - done)):
             for m in MARGINS:
-                now = scaled(now, m, small)
-                now = now if small else checkpointed(now)
-        now, done = checkpointed(now), done + at_once
-        was, off = off, residual(now)
+                now = checkpointed(scaled(now, m))
+        done, was, off = done + at_once, off, residual(now)
         if off <= tolerance or off > 0.99 * was:
             break
     return now.drop(*[f"share_{m}" for m in MARGINS])

@@ -353,6 +353,25 @@ def test_rake(spark, few):
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want) and len(got) == len(want)
 
 
+def test_rake_of_few_cells_is_one_fit(spark):
+    """However many cycles a small table takes, the number of jobs stays the same; unreachable margins, nulls and empty cells as over a DataFrame."""
+    cells = [("a", "en", "x", 5.0), ("a", "de", "y", 1.0), (None, "en", "x", 2.0), ("b", "de", "x", 0.0), ("b", None, "y", 3.0)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, w double")
+    targets = {"source": None, "lang": {"en": 0.3, "de": 0.2, "": 0.5}, "topic": {"x": 0.4, "y": 0.6}}
+
+    def jobs(cycles):
+        spark.sparkContext.setJobGroup(f"rake{cycles}", "")
+        mixing.rake(df, targets, cycles, tolerance=-1.0).collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rake{cycles}"))
+
+    assert jobs(5) == jobs(50)
+    key = lambda r: tuple(map(str, (r.source, r.lang, r.topic)))
+    few, many = (sorted(mixing.rake(df, targets, 1, few).collect(), key=key) for few in (100, 0))
+    assert [key(r) for r in few] == [key(r) for r in many] and np.allclose([r.r for r in few], [r.r for r in many], atol=1e-12)
+    assert mixing.rake(df.limit(0), targets).count() == 0
+
+
 def test_rake_until_it_fits(spark):
     """Margins that do not contradict each other are all met, and null is a value apart from the empty text."""
     cells = [(s, g, t, float(5 + i * i)) for i, (s, g, t) in enumerate((s, g, t) for s in ("a", "", None) for g in ("en", "de") for t in ("x", "y"))]

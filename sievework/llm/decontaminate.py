@@ -247,12 +247,12 @@ def latent_space(counts: DataFrame, share: float, weights: np.ndarray, items: li
     dims = len(weights)
     rank, each = max(1, min(rank, dims)), rows_each(dims)
     rng = np.random.default_rng(seed)
-    q = np.linalg.qr(rng.standard_normal((dims, min(dims, rank + 8))))[0]
+    q = np.linalg.qr(rng.standard_normal((dims, min(dims, rank + 8))))[0].astype(np.float32)
     for _ in range(rounds + 1):
         basis = q
 
         def run(batches: Iterator[pa.RecordBatch], basis=basis) -> Iterator[pa.RecordBatch]:
-            out, weighed = np.zeros_like(basis), basis * weights[:, None]
+            out, weighed = np.zeros(basis.shape), basis * weights[:, None]
             for batch in batches:
                 for block, cell, n in zip(*(batch.column(c).to_pylist() for c in ("block", "cell", "n")), strict=True):
                     part = np.zeros(each * dims)
@@ -267,17 +267,17 @@ def latent_space(counts: DataFrame, share: float, weights: np.ndarray, items: li
             yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array([out[i].tobytes() for i in hit.tolist()], pa.binary())], ["row", "sums"])
 
         def solve(batches: Iterator[pa.RecordBatch], basis=basis) -> Iterator[pa.RecordBatch]:
-            y = np.zeros_like(basis)
+            y = np.zeros(basis.shape)
             for at, weight in items:
                 y[at] += ITEM_WEIGHT**2 * np.outer(weight, weight @ basis[at])
             for batch in batches:
                 for row, sums in zip(batch.column("row").to_pylist(), batch.column("sums").to_pylist(), strict=True):
                     y[row] += np.frombuffer(sums, np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(np.linalg.qr(y)[0]).tobytes()], pa.binary())], ["q"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.linalg.qr(y)[0].astype(np.float32).tobytes()], pa.binary())], ["q"])
 
         # 8 * dims rows at most meet in one task, and dims x rank numbers leave it.
         found = counts.coalesce(8).mapInArrow(run, "row long, sums binary").repartition(1).mapInArrow(solve, "q binary").first()
-        q = np.frombuffer(bytes(found["q"]), np.float64).reshape(basis.shape)
+        q = np.frombuffer(bytes(found["q"]), np.float32).reshape(basis.shape)  # half as large for the driver
     return q[:, :rank]
 
 
